@@ -1,0 +1,40 @@
+"""Connected components of a link table by alternating star contractions, wholly in DataFrames."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .runtime import materialise
+
+#: Rounds at most; the number needed grows with the logarithm of the longest path.
+ROUNDS = 50
+
+
+def _state(links: DataFrame) -> tuple:
+    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) of every linked node but the roots themselves; links (a, b) may repeat and run either way.
+
+    The root is the least node of its component. Each half-round takes the least
+    neighbour of each node by an aggregate that combines before the shuffle and joins
+    it back, so a hub's links are never gathered in one row.
+    """
+    now = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    state = _state(now)
+    for _ in range(ROUNDS):
+        # Large star: neighbours above a node go to its least neighbour.
+        both = now.select("a", "b").unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # Small star: a node and its neighbours below it go to the least of these.
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        down = large.join(least, "a")
+        small = down.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).distinct()
+        now = materialise(small)
+        was, state = state, _state(now)
+        if state == was:
+            break
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
