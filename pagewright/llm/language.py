@@ -107,30 +107,49 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang") -> tuple[lis
     return names, table.astype(np.float32)
 
 
+def decide(column: pa.Array, model: tuple[list[str], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the language of each text, -1 for none, and its posterior."""
+    names, table = model
+    best, score = np.full(len(column), -1), np.zeros(len(column))
+    if names:
+        for i, j, code, first in chunks(column):
+            total = np.zeros((j - i, len(names)))
+            for n in ORDERS:
+                total += np.add.reduceat(table[buckets(code, n)], first, axis=0, dtype=np.float64)
+            some = np.add.reduceat((code != 32).astype(np.int64), first) > 0
+            p = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+            best[i:j], score[i:j] = np.where(some, total.argmax(axis=1), -1), np.where(some, p, 0)
+    return best, score
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
     """The key, lang_pred and score: the posterior of the language chosen, `und` and 0 where there is no letter."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, table = shared.value
+        names = shared.value[0]
         for b in batches:
-            best, score = np.full(b.num_rows, -1), np.zeros(b.num_rows)
-            for i, j, code, first in chunks(b.column(1)):
-                if not names:
-                    continue
-                total = np.zeros((j - i, len(names)))
-                for n in ORDERS:
-                    total += np.add.reduceat(table[buckets(code, n)], first, axis=0, dtype=np.float64)
-                some = np.add.reduceat((code != 32).astype(np.int64), first) > 0
-                top = total.argmax(axis=1)
-                p = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-                best[i:j], score[i:j] = np.where(some, top, -1), np.where(some, p, 0)
+            best, score = decide(b.column(1), shared.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([names[k] if k >= 0 else "und" for k in best], pa.string()), pa.array(score, pa.float64())], [key, "lang_pred", "score"])
 
     return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, lang_pred string, score double")
 
 
+def passed(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, that have a language with at least this posterior."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            best, score = decide(b.column(at), shared.value)
+            yield b.filter(pa.array((best >= 0) & (score >= least)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", parts: int = 4, part: int = 2) -> DataFrame:
     """Train on rows that are not held out, then predict all: key, held_out, lang_pred, score."""
     out = held_out(key, parts, part)

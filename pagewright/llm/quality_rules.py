@@ -68,7 +68,7 @@ def ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str =
     return F.split(F.lit(row[0]), ",").cast("array<double>")
 
 
-def repeated_words(hashes: Column, n: Column, triples: Column) -> Column:
+def repeated_words(n: Column, triples: Column) -> Column:
     """Words in windows of three that occur twice or more, the first occurrence included."""
     places = F.sort_array(F.transform(triples, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     pairs = adjacent(places, n - 2, lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))
@@ -78,10 +78,13 @@ def repeated_words(hashes: Column, n: Column, triples: Column) -> Column:
     return F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
 
 
-def judge(docs: DataFrame, ratio: Column, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Key, base counts, base_failed, score (mean log ratio, 0 without n-grams) and kept of each row, and the columns to keep."""
+def judge(docs: DataFrame, ratio: Column, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Columns c0, c1, ... of docs, then base counts, base_failed, kept and score (mean log ratio, 0 without n-grams) of each row."""
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(docs.columns, own, strict=True)))
+    text = own[docs.columns.index(text)]
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = prepared(docs.select(key, text, *[c for c in keep if c not in (key, text)]), text)
+    rows = prepared(rows, text)
     rows = rows.withColumn("__pairs", adjacent("__hashes", F.col("__n"), lambda a, b: F.xxhash64(a, b)))
     size = F.greatest(F.col("__n") - 2, F.lit(1))
     rows = rows.withColumn("__triples", F.when(F.col("__n") >= 3, F.zip_with(F.slice("__pairs", 1, size), F.slice("__hashes", 3, size), lambda a, b: F.xxhash64(a, b))))
@@ -92,14 +95,13 @@ def judge(docs: DataFrame, ratio: Column, key: str = "doc_id", text: str = "text
         "word_chars": F.length(F.regexp_replace(whole, SPACE, "")).cast("long"),
         "n_symbols": (F.length(whole) - F.length(F.regexp_replace(whole, "[#*$%&|<>]", ""))).cast("long"),
         "__lines": lines,
-        "n_repeat_words": F.when(again, repeated_words(F.col("__hashes"), F.col("__n"), F.col("__triples"))).otherwise(0).cast("long"),
+        "n_repeat_words": F.when(again, repeated_words(F.col("__n"), F.col("__triples"))).otherwise(0).cast("long"),
         "__sum": F.aggregate(F.col("__grams"), F.lit(0.0), lambda a, x: a + ratio[x]),
     })
     rows = rows.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
     rows = rows.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
     rows = rows.withColumn("score", F.when(F.size("__grams") > 0, F.col("__sum") / F.size("__grams")).otherwise(0.0))
-    own = [c for c in keep if c not in (key, "n_words", "score", "kept")]
-    return rows.select(key, *own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"), "score")
+    return rows.select(*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"), "score")
 
 
 def trusted_keys(labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
@@ -108,5 +110,13 @@ def trusted_keys(labels: DataFrame, key: str = "doc_id", label: str = "quality")
 
 
 def apply(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The verdict on every row of docs; the corpus is docs, trusted texts are those that labels call good."""
-    return judge(docs, ratios(docs, trusted_keys(labels, key), key, text), key, text, threshold)
+    """Key and verdict of every row of docs; the corpus is docs, trusted texts are those that labels call good."""
+    ratio = ratios(docs, trusted_keys(labels, key), key, text)
+    found = judge(docs.select(key, text), ratio, text, threshold)
+    return found.select(F.col("c0").alias(key), *found.columns[2:])
+
+
+def passed(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that are kept."""
+    ratio = ratios(docs, trusted_keys(labels, key), key, text)
+    return judge(docs, ratio, text, threshold).where("kept").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

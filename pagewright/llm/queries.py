@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classifier, fingerprints, html_text, language, license_scan, near_copies, packing, quality_rules
+from . import bpe, classifier, fingerprints, html_text, language, license_scan, near_copies, packing, quality_rules, repeats
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -49,12 +49,16 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.stripped(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_near_copies, op3_quality_classifier, op4_bpe, op5_best_fit_packing, op6_fingerprints, op7_html_text, op8_language, op10_license_scan)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_near_copies, op3_quality_classifier, op4_bpe, op5_best_fit_packing, op6_fingerprints, op7_html_text, op8_language, op9_repeats, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
