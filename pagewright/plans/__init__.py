@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import layout, wording
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return layout.QUERIES | wording.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return layout.ORACLES | wording.ORACLES
