@@ -2,8 +2,9 @@
 
 All of it is DataFrame expressions. The n-grams of a text are its words, and pairs
 of adjacent words' shapes (a run of capitals is A, a run of small letters a), each
-hashed to one of a fixed number of buckets. Two multinomials over the buckets, of
-trusted texts and of the whole corpus, each with one added to every count, give a
+hashed to one of a fixed number of buckets. Two multinomials over the buckets, of the
+whole corpus with one added to every count, and of trusted texts with a prior drawn
+from the corpus, so that few trusted texts say little, give a
 log ratio per bucket: a table of fixed size, which becomes a constant of the scoring plan. A document's score is the mean
 ratio of its n-grams, so it does not depend on length, and the document is kept if
 the score reaches a fixed threshold and no base rule rejects it.
@@ -22,6 +23,8 @@ from .runtime import join_small, materialise
 
 #: Bits of a bucket number, least mean log ratio of a kept document, and trusted keys that are broadcast at most.
 BITS, THRESHOLD, BROADCAST = 16, -0.25, 200_000
+#: n-grams of the corpus that trusted texts are taken to have besides their own.
+PRIOR = 1 << 14
 #: Least words, and most repeated words in a hundred.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -60,7 +63,8 @@ def ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str =
     counts = materialise(grams.groupBy("bucket").agg(F.count("*").alias("all"), F.count("__trusted").alias("own")))
     size = 1 << BITS
     total = counts.agg(F.coalesce(F.sum("all"), F.lit(0)).alias("total_all"), F.coalesce(F.sum("own"), F.lit(0)).alias("total_own"))
-    log = F.when(F.col("total_own") == 0, F.lit(0.0)).otherwise(F.log((F.col("own") + 1) / (F.col("total_own") + size)) - F.log((F.col("all") + 1) / (F.col("total_all") + size)))
+    raw = (F.col("all") + 1) / (F.col("total_all") + size)
+    log = F.log((F.col("own") + PRIOR * raw) / (F.col("total_own") + PRIOR)) - F.log(raw)
     # One total row and 2**BITS buckets at most, however large the input is.
     table = counts.select("bucket", "all", "own").unionAll(counts.sparkSession.range(size).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long"), F.lit(0).cast("long")))
     table = table.groupBy("bucket").agg(F.sum("all").alias("all"), F.sum("own").alias("own")).withColumns({c: total.select(c).scalar() for c in ("total_all", "total_own")})
