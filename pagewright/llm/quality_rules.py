@@ -2,9 +2,9 @@
 
 All of it is DataFrame expressions. The n-grams of a text are its words, and pairs
 of adjacent words' shapes (a run of capitals is A, a run of small letters a), each
-hashed to one of a fixed number of buckets. Two multinomials over the buckets, of the
-whole corpus with one added to every count, and of trusted texts with a prior drawn
-from the corpus, so that few trusted texts say little, give a
+hashed to one of a fixed number of buckets. Two multinomials over the buckets, of
+trusted texts and of the whole corpus, both at the number of trusted n-grams and with one
+added to every count, so that what is rare or seldom trusted says little, give a
 log ratio per bucket: a table of fixed size, which becomes a constant of the scoring plan. A document's score is the mean
 ratio of its n-grams, so it does not depend on length, and the document is kept if
 the score reaches a fixed threshold and no base rule rejects it.
@@ -22,9 +22,7 @@ from pyspark.sql import functions as F
 from .runtime import join_small, materialise
 
 #: Bits of a bucket number, least mean log ratio of a kept document, and trusted keys that are broadcast at most.
-BITS, THRESHOLD, BROADCAST = 16, -0.25, 200_000
-#: n-grams of the corpus that trusted texts are taken to have besides their own.
-PRIOR = 1 << 14
+BITS, THRESHOLD, BROADCAST = 16, -0.75, 200_000
 #: Least words, and most repeated words in a hundred.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -63,8 +61,8 @@ def ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str =
     counts = materialise(grams.groupBy("bucket").agg(F.count("*").alias("all"), F.count("__trusted").alias("own")))
     size = 1 << BITS
     total = counts.agg(F.coalesce(F.sum("all"), F.lit(0)).alias("total_all"), F.coalesce(F.sum("own"), F.lit(0)).alias("total_own"))
-    raw = (F.col("all") + 1) / (F.col("total_all") + size)
-    log = F.log((F.col("own") + PRIOR * raw) / (F.col("total_own") + PRIOR)) - F.log(raw)
+    expected = F.col("all") * (F.col("total_own") / F.greatest("total_all", F.lit(1)))
+    log = F.log((F.col("own") + 1) / (expected + 1))
     # One total row and 2**BITS buckets at most, however large the input is.
     table = counts.select("bucket", "all", "own").unionAll(counts.sparkSession.range(size).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long"), F.lit(0).cast("long")))
     table = table.groupBy("bucket").agg(F.sum("all").alias("all"), F.sum("own").alias("own")).withColumns({c: total.select(c).scalar() for c in ("total_all", "total_own")})
@@ -72,14 +70,25 @@ def ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str =
     return F.split(F.lit(row[0]), ",").cast("array<double>")
 
 
-def repeated_words(n: Column, triples: Column) -> Column:
-    """Words in windows of three that occur twice or more, the first occurrence included."""
-    places = F.sort_array(F.transform(triples, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    pairs = adjacent(places, n - 2, lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))
-    starts = F.sort_array(F.array_distinct(F.flatten(pairs)))
+def with_repeats(rows: DataFrame, name: str) -> DataFrame:
+    """rows with the number of words in windows of three that occur twice or more, the first occurrence included.
+
+    Each step is a column of its own, as an expression that is used twice is else computed twice.
+    """
+    n = F.col("__n")
+    size = F.greatest(n - 2, F.lit(1))
+    rows = rows.withColumn("__pairs", adjacent("__hashes", n, lambda a, b: F.xxhash64(a, b)))
+    rows = rows.withColumn("__triples", F.when(n >= 4, F.zip_with(F.slice("__pairs", 1, size), F.slice("__hashes", 3, size), lambda a, b: F.xxhash64(a, b))))
+    rows = rows.withColumn("__again", F.size(F.array_distinct("__triples")) < n - 2)
+    places = F.when(F.col("__again"), F.sort_array(F.transform("__triples", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    rows = rows.drop("__pairs").withColumn("__places", places).drop("__triples")
+    same = F.when(F.col("__again"), F.zip_with("__places", F.slice("__places", 2, size), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"]))))
+    starts = F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))
+    rows = rows.withColumn("__starts", F.when(F.col("__again"), starts)).drop("__places")
     # Each start covers up to the next one, three words at most; the last covers three.
-    gaps = F.zip_with(starts, F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
-    return F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
+    gaps = F.zip_with("__starts", F.slice("__starts", 2, size), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
+    total = F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
+    return rows.withColumn(name, F.when(F.col("__again"), total).otherwise(0).cast("long")).drop("__starts", "__again")
 
 
 def judge(docs: DataFrame, ratio: Column, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -89,17 +98,13 @@ def judge(docs: DataFrame, ratio: Column, text: str = "text", threshold: float =
     text = own[docs.columns.index(text)]
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = prepared(rows, text)
-    rows = rows.withColumn("__pairs", adjacent("__hashes", F.col("__n"), lambda a, b: F.xxhash64(a, b)))
-    size = F.greatest(F.col("__n") - 2, F.lit(1))
-    rows = rows.withColumn("__triples", F.when(F.col("__n") >= 3, F.zip_with(F.slice("__pairs", 1, size), F.slice("__hashes", 3, size), lambda a, b: F.xxhash64(a, b))))
-    again = (F.col("__n") >= 4) & (F.size(F.array_distinct("__triples")) < F.size("__triples"))
+    rows = with_repeats(rows, "n_repeat_words")
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     rows = rows.withColumns({
         "n_words": F.col("__n").cast("long"),
         "word_chars": F.length(F.regexp_replace(whole, SPACE, "")).cast("long"),
         "n_symbols": (F.length(whole) - F.length(F.regexp_replace(whole, "[#*$%&|<>]", ""))).cast("long"),
         "__lines": lines,
-        "n_repeat_words": F.when(again, repeated_words(F.col("__n"), F.col("__triples"))).otherwise(0).cast("long"),
         "__sum": F.aggregate(F.col("__grams"), F.lit(0.0), lambda a, x: a + ratio[x]),
     })
     rows = rows.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))

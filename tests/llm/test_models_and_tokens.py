@@ -193,7 +193,7 @@ def test_pipeline_keeps_columns(spark, tmp_path, docs):
     pipeline = pytest.importorskip("corpus_pipeline")
     own = ["doc_id", "text", "lang", "source", "n_chars"]
     docs.select(*own).write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(1, 1), (4, 1), (7, 1), (13, 1), (55, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, 1), (4, 1), (7, 1), (10, 1), (13, 1), (46, 1), (55, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     rows, sizes = spark.read.parquet(str(tmp_path / "documents.parquet")), []
     for k, (_, stage) in enumerate(pipeline.STAGES):
         out = stage(spark, rows, str(tmp_path))

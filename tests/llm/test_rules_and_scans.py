@@ -45,9 +45,8 @@ def test_score_against_counts(docs, labels):
         every.update(r["__grams"])
         if r["doc_id"] in trusted:
             own.update(r["__grams"])
-    size, prior = 1 << quality_rules.BITS, quality_rules.PRIOR
-    raw = {b: (n + 1) / (sum(every.values()) + size) for b, n in every.items()}
-    ratio = {b: math.log((own[b] + prior * p) / (sum(own.values()) + prior) / p) for b, p in raw.items()}
+    share = sum(own.values()) / sum(every.values())
+    ratio = {b: math.log((own[b] + 1) / (n * share + 1)) for b, n in every.items()}
     want = {r["doc_id"]: sum(ratio[b] for b in r["__grams"]) / len(r["__grams"]) if r["__grams"] else 0.0 for r in rows}
     for r in quality_rules.apply(docs, labels).collect():
         assert r["score"] == pytest.approx(want[r["doc_id"]], abs=1e-5)
