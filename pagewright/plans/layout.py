@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as g
+from pagewright.operators import lettering, ordered
 from pagewright.operators import regions as r
 from pagewright.plans.tables import BOXES, PAGE_HEIGHT, PAGE_WIDTH, boxes
 
@@ -90,18 +91,36 @@ def page_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.coverage(units)
 
 
-QUERIES = {f.__name__: f for f in (region_viability, reading_order_page, reading_order_local, box_near_pairs, iou_pairs, containment_pairs, box_closure, centroid_clusters, row_islands_fixed_gap, column_histogram_valleys, dominant_label, input_dedupe, translation_budget, surface_stats, page_coverage)}
+def merged_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.merged_regions(boxes(spark, sf_dir), PAGE_WIDTH, PAGE_HEIGHT)
 
 
-def ordered(columns: int) -> str:
+def merged_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.merged_phrases(boxes(spark, sf_dir), PAGE_WIDTH, PAGE_HEIGHT)
+
+
+def median_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.median_rows(boxes(spark, sf_dir))
+
+
+def fitted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    units = c.select(F.col("conv_id").alias("page"), F.col("turn").alias("idx"), F.array_join(F.slice(F.split("text", " "), 1, 9), " ").alias("text"), F.when(F.col("turn") % 2 == 0, "dialogue").otherwise("sfx").alias("style"), (60 + F.col("conv_id") % 200).cast("int").alias("w"), (40 + F.col("conv_id") % 150).cast("int").alias("h"))
+    return lettering.fit(units).select("page", "idx", "size", F.size("lines").alias("n_lines"), "skip_reason")
+
+
+QUERIES = {f.__name__: f for f in (region_viability, reading_order_page, reading_order_local, box_near_pairs, iou_pairs, containment_pairs, box_closure, centroid_clusters, row_islands_fixed_gap, column_histogram_valleys, dominant_label, input_dedupe, translation_budget, surface_stats, page_coverage, merged_regions, merged_phrases, median_rows, fitted_text)}
+
+
+def order_sql(columns: int) -> str:
     return f"""{WITH} select page, pos, row_number() over (partition by page order by {columns - 1} - cast(floor((x1 + (x2 - x1) // 2) / ({PAGE_WIDTH} / {columns}.0)) as int),
   y1 + (y2 - y1) // 2, pos) as place from boxes"""
 
 
 ORACLES = {
     "region_viability": f"{WITH} select page, pos, (x2 - x1) * (y2 - y1) as area, ((y2 - y1) > (x2 - x1) * 2 or ((y2 - y1) > (x2 - x1) * 1.5 and x2 - x1 < 200)) as vertical from boxes where x2 - x1 >= 40 and y2 - y1 >= 40",
-    "reading_order_page": ordered(3),
-    "reading_order_local": ordered(2),
+    "reading_order_page": order_sql(3),
+    "reading_order_local": order_sql(2),
     "box_near_pairs": f"{WITH} select a.page, a.pos as a, b.pos as b from boxes a join boxes b on a.page = b.page and a.pos < b.pos and {NEAR}",
     "iou_pairs": f"""{WITH}, p as (select a.page, a.pos as a, b.pos as b, {SHARED} as s, (a.x2 - a.x1) * (a.y2 - a.y1) as aa, (b.x2 - b.x1) * (b.y2 - b.y1) as ab,
   (greatest(a.x2, b.x2) - least(a.x1, b.x1)) * (greatest(a.y2, b.y2) - least(a.y1, b.y1)) as hull,
