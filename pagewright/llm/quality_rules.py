@@ -128,4 +128,7 @@ def apply(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def passed(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, that are kept."""
     ratio = ratios(docs, trusted_keys(labels, key), key, text)
-    return judge(docs, ratio, text, threshold).where("kept").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    # A filter on the verdict alone would be pushed below its steps and compute each as often as it is used;
+    # it cannot pass a column that is not deterministic.
+    found = judge(docs, ratio, text, threshold).withColumn("__row", F.monotonically_increasing_id())
+    return found.where("kept and __row >= 0").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
