@@ -16,7 +16,10 @@ the probability Jaccard similarity of their sets.
 3. Components of these links are dealt to tasks, with whole shingle sets, and any pair not
    yet connected whose signatures agree enough is verified: the set Jaccard similarity must reach the
    threshold. Components beyond the bound are split, and their most linked nodes go to each part.
-4. Components of the verified links are the classes.
+4. Pairs that a split leaves in different parts, and pairs of a band of several chunks, are held
+   against each other by band, chunk against chunk; those that agree enough and are not in one
+   class yet get both shingle sets by a join and are verified alike.
+5. Components of the verified links are the classes.
 
 The class id is the least key in the class. Null and empty texts have no shingles and
 count as copies of each other. Rows that share a key share a class. Only the key
@@ -223,16 +226,18 @@ def candidates(bands: DataFrame) -> DataFrame:
     return bands.repartition("band", "chunk").sortWithinPartitions("band", "chunk", "node").mapInArrow(run, "a long, b long, band long, signature binary")
 
 
+def near(a: np.ndarray, b: np.ndarray, similar: float) -> bool:
+    """Whether the Jaccard similarity of two sets of distinct values reaches the threshold."""
+    if min(len(a), len(b)) < similar * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similar * (len(a) + len(b) - both) - 1e-9
+
+
 def verified(parts: DataFrame, similar: float) -> DataFrame:
     """Links (a, b) of verified pairs that span each part's classes; parts has root, part, node, elements, signature."""
     names = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def near(a: np.ndarray, b: np.ndarray) -> bool:
-        if min(len(a), len(b)) < similar * max(len(a), len(b)):
-            return False
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return both >= similar * (len(a) + len(b) - both) - 1e-9
-
     def work(t: pa.Table) -> list[tuple]:
         root, part, node = (t.column(c).to_numpy() for c in ("root", "part", "node"))
         signature = matrix(t.column("signature"))
@@ -262,7 +267,7 @@ def verified(parts: DataFrame, similar: float) -> DataFrame:
                         both = len(small[i] & small[k])
                         ok = both >= similar * (len(a) + len(b) - both) - 1e-9
                     else:
-                        ok = near(a, b)
+                        ok = near(a, b, similar)
                     if ok:
                         forest.join(k, i)
                         out.append((int(node[s + k]), int(node[s + i])))
@@ -274,6 +279,52 @@ def verified(parts: DataFrame, similar: float) -> DataFrame:
     return parts.repartition("root", "part").sortWithinPartitions("root", "part", "node").mapInArrow(run, "a long, b long")
 
 
+def across(bands: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share a band, agree enough to be verified, and are neither in one class nor in one part.
+
+    bands has band, chunk, chunks, node, signature, root and part of the component, and class.
+    Each chunk of a band meets each other and itself in a block of its own.
+    """
+    names = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def work(t: pa.Table) -> list[tuple]:
+        band, low, high, chunk, node, root, part, own = (t.column(c).to_numpy() for c in ("band", "low", "high", "chunk", "node", "root", "part", "class"))
+        signature = matrix(t.column("signature"))
+        new = np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+        out: list[tuple] = []
+        for s, e in zip(new, np.append(new[1:], len(band)), strict=True):
+            # Rows of the block's first chunk stand before those of its second.
+            cut = s + int(np.searchsorted(chunk[s:e], low[s], side="right"))
+            for i in range(s, cut):
+                j = np.arange(i + 1 if low[s] == high[s] else cut, e)
+                j = j[(own[j] != own[i]) & ((root[j] != root[i]) | (part[j] != part[i]))]
+                if len(j):
+                    j = j[(signature[j] == signature[i]).mean(axis=1) >= VERIFY]
+                out += [(min(int(node[i]), x), max(int(node[i]), x)) for x in node[j].tolist()]
+        return out
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return grouped(rows, ["band", "low", "high"], work, names)
+
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+    blocks = bands.select("*", other).withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")}).drop("other", "chunks")
+    return blocks.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "chunk", "node").mapInArrow(run, "a long, b long").distinct()
+
+
+def proved_pairs(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, b) whose sets are similar; sets has node and elements."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (x, at), (y, to) = buffers(b.column(2)), buffers(b.column(3))
+            ok = [near(x[at[k] : at[k + 1]].view(U), y[to[k] : to[k + 1]].view(U), similar) for k in range(b.num_rows)]
+            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    sets = sets.select("node", "elements")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def elements(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Node, sorted shingle hashes and signature of each row that has a word."""
     small_batches(docs.sparkSession)
@@ -300,7 +351,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: f
     folded = signed.join(copies, "digest")
     nodes = folded.where("key = node").select("node", "bands", "signature")
     keys = nodes.select("node", F.explode("bands").alias("band"))
-    shared = keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialise(keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     members = keys.join(shared, "band").select("band", "node", chunks.alias("chunks"), F.pmod(F.xxhash64("node", "band"), chunks).cast("int").alias("chunk"))
     found = materialise(candidates(members.join(nodes.select("node", "signature"), "node")))
@@ -319,9 +370,22 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: f
     hubs = large.join(degree, "node").groupBy("root", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("salt")).agg(F.max("parts").alias("parts"), F.max_by("node", "degree").alias("node"))
     dealt = placed.select("node", "root", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
     dealt = dealt.unionAll(hubs.select("node", "root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))).distinct()
-    wanted = coarse.select(F.col("node").alias(key)).distinct()
-    sets = elements(join_small(docs.select(key, text), wanted, key, "left_semi", BROADCAST), key, text)
-    proved = verified(sets.join(dealt, "node"), similar)
-    final = components(proved)
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        wanted = wanted.select(F.col("node").alias(key)).distinct()
+        return elements(join_small(docs.select(key, text), wanted, key, "left_semi", BROADCAST), key, text)
+
+    final = components(verified(sets(coarse).join(dealt, "node"), similar))
+    if not (large.isEmpty() and shared.where(F.col("n") > CHUNK).isEmpty()):
+        # What a split component or a band of several chunks leaves uncompared.
+        place = placed.select("node", "root", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(0).cast("int").alias("part"), "parts")
+        told = members.join(place, "node", "left").where("chunks > 1 or parts > 1")
+        told = told.join(final.select("node", F.col("root").alias("class")), "node", "left").join(nodes.select("node", "signature"), "node")
+        # A node of no component is one of its own.
+        told = told.select("band", "chunk", "chunks", "node", "signature", F.coalesce("root", "node").alias("root"), F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("class", "node").alias("class"))
+        pairs = materialise(across(told))
+        if not pairs.isEmpty():
+            more = proved_pairs(pairs, materialise(sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))), similar)
+            final = components(final.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
     member = signed.select("key", "digest").join(copies, "digest").select("key", "node")
     return member.join(final, "node", "left").select(F.col("key").cast(docs.schema[key].dataType).alias(key), F.coalesce("root", "node").cast(docs.schema[key].dataType).alias("class_id"))

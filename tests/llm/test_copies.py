@@ -58,6 +58,20 @@ def test_large_group_in_parts(spark, monkeypatch):
     assert got == brute_classes(list(enumerate(texts)))
 
 
+def test_pairs_of_a_split_component(spark, monkeypatch):
+    """Separate pairs that common boilerplate links into one component of many parts."""
+    monkeypatch.setattr(near_copies, "CHUNK", 8)
+    rng = random.Random(7)
+    same, texts = prose(rng, 90), []
+    for k in range(60):
+        own = prose(rng, 55).split()
+        texts += [" ".join([same, *own]), " ".join([same, *own[:30], f"y{k}", *own[31:]])]
+    want = brute_classes(list(enumerate(texts)))
+    assert len(set(want.values())) == 60
+    got = {r["doc_id"]: r["class_id"] for r in near_copies.classes(frame(spark, texts)).collect()}
+    assert got == want
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
     n, places = 300, 4096
