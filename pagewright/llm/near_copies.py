@@ -1,12 +1,12 @@
 """Near-duplicate classes by ProbMinHash signatures, banding and exact verification.
 
-Texts become weighted sets of five-word shingles; a text of one to four words is
-one shingle, and the weight is one plus the logarithm of the count. Each element is a Poisson
+Texts become sets of five-word shingles; a text of one to four words is
+one shingle. Every distinct shingle weighs the same, as in the verified similarity. Each element is a Poisson
 process with its weight as rate, whose arrivals fall on random signature places;
 a place keeps its first arrival. All arrivals of a document up to a time bound are
 made, and the bound doubles only for documents with an empty place left, so later
 arrivals, which cannot win, are never made. Two signatures agree at a place with
-the probability Jaccard similarity of their sets.
+the probability Jaccard similarity of their sets, which for equal weights is the Jaccard similarity.
 
 1. Equal texts are folded into one node each, by an aggregate on a digest.
 2. Bands of the signature that several nodes share give groups, split into chunks
@@ -48,15 +48,15 @@ FOLLOW, LINK, VERIFY = 0.6, 0.4, 0.58
 CHUNK, BROADCAST, HUBS, BYTES = 1024, 500_000, 16, 1 << 20
 
 
-def shingles(data: np.ndarray, at: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, 48-bit hash and count of each distinct shingle, in order; fewer than 65,536 rows at once."""
+def shingles(data: np.ndarray, at: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Row and 48-bit hash of each distinct shingle, in order; fewer than 65,536 rows at once."""
     _, _, h, row = words(data, at)
     g, r = grams(h, row, n)
     size = np.bincount(row, minlength=len(at) - 1)[row] if len(row) else row
     parts = [(g, r)] + [grams(h[size == k], row[size == k], k) for k in range(1, n)]
     keys = np.concatenate([(r.astype(U) << U(48)) | (g >> U(16)) for g, r in parts])
-    found, count = np.unique(keys, return_counts=True)
-    return (found >> U(48)).astype(np.int64), found & U((1 << 48) - 1), count
+    found = np.unique(keys)
+    return (found >> U(48)).astype(np.int64), found & U((1 << 48) - 1)
 
 
 def signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, places: int = PLACES) -> np.ndarray:
@@ -114,8 +114,8 @@ def sign(docs: DataFrame, key: str, text: str) -> DataFrame:
             bands: list = [[]] * b.num_rows
             signed = [b""] * b.num_rows
             for i, j in slices(at, BYTES):
-                row, element, count = shingles(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                s = signatures(row, element, 1 + np.log(count), j - i)
+                row, element = shingles(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                s = signatures(row, element, np.ones(len(row)), j - i)
                 keys = band_keys(s)
                 for k in np.unique(row):
                     bands[i + k], signed[i + k] = keys[k], s[k].tobytes()
@@ -334,8 +334,8 @@ def elements(docs: DataFrame, key: str, text: str) -> DataFrame:
             data, at = buffers(b.column(1))
             sets, signed = [b""] * b.num_rows, [b""] * b.num_rows
             for i, j in slices(at, BYTES):
-                row, element, count = shingles(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                s = signatures(row, element, 1 + np.log(count), j - i)
+                row, element = shingles(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                s = signatures(row, element, np.ones(len(row)), j - i)
                 cut = np.searchsorted(row, np.arange(j - i + 1))
                 for k in range(j - i):
                     sets[i + k], signed[i + k] = element[cut[k] : cut[k + 1]].tobytes(), s[k].tobytes()

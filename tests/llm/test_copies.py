@@ -72,6 +72,18 @@ def test_pairs_of_a_split_component(spark, monkeypatch):
     assert got == want
 
 
+def test_copies_that_differ_in_a_repeated_line(spark):
+    """Shingles that only one text of a pair has occur 200 times there, and count once."""
+    rng, texts = random.Random(9), []
+    for k in range(12):
+        same = [f"s{k}x{i}" for i in rng.sample(range(1000), 124)]
+        texts += [" ".join(same + [f"{side}{k}x{i}" for i in range(10)] * 200) for side in "ab"]
+    want = brute_classes(list(enumerate(texts)))
+    assert len(set(want.values())) == 12
+    got = {r["doc_id"]: r["class_id"] for r in near_copies.classes(frame(spark, texts)).collect()}
+    assert got == want
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
     n, places = 300, 4096
