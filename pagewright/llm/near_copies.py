@@ -44,6 +44,8 @@ WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 4
 PLACES = BANDS * ROWS
 #: Agreement of signatures that makes a node follow a leader, that links it to further ones, and that lets a pair be verified.
 FOLLOW, LINK, VERIFY = 0.6, 0.4, 0.58
+#: A follower so near to its leader that whatever agrees with it by VERIFY agrees with the leader by LINK.
+NEAR = LINK + 1 - VERIFY
 #: Nodes of a chunk, nodes whose ids are broadcast at most, hubs of a split component, bytes of text handled at once.
 CHUNK, BROADCAST, HUBS, BYTES = 1024, 500_000, 16, 1 << 20
 
@@ -183,8 +185,8 @@ class Forest:
         return True
 
 
-def lead(node: np.ndarray, signature: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
-    """Links of a spanning forest over a group, and the group's leaders."""
+def lead(node: np.ndarray, signature: np.ndarray, follow: float = NEAR) -> tuple[list[tuple[int, int]], list[int]]:
+    """Links of a spanning forest over a group, and the group's leaders; at NEAR the forest joins all that agree by VERIFY."""
     forest = Forest(len(node))
     links, leaders = [], []
     for i in range(len(node)):
@@ -193,14 +195,17 @@ def lead(node: np.ndarray, signature: np.ndarray) -> tuple[list[tuple[int, int]]
             for k in np.flatnonzero(alike >= LINK):
                 if node[leaders[k]] != node[i] and forest.join(leaders[k], i):
                     links.append((leaders[k], i))
-            if alike.max() >= FOLLOW:
+            if alike.max() >= follow:
                 continue
         leaders.append(i)
     return links, leaders
 
 
-def candidates(bands: DataFrame) -> DataFrame:
-    """Links (a, b) that keep connected what shares a band and agrees; bands has band, chunk, chunks, node, signature."""
+def candidates(bands: DataFrame, follow: float = NEAR) -> DataFrame:
+    """Links (a, b) that keep connected what shares a band and agrees; bands has band, chunk, chunks, node, signature.
+
+    In a band of several chunks followers need only agree by FOLLOW, and pairs may stay apart; across() compares them.
+    """
     names = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("band", pa.int64()), ("signature", pa.binary())])
 
     def work(t: pa.Table) -> list[tuple]:
@@ -214,7 +219,7 @@ def candidates(bands: DataFrame) -> DataFrame:
         near = ((signature[i] == signature[i + 1]).mean(axis=1) >= LINK) & (node[i] != node[i + 1])
         out += [(int(a), int(b), None, None) for a, b in zip(node[i[near]], node[i[near] + 1], strict=True)]
         for s, e in zip(new[~pair], ends[~pair], strict=True):
-            links, leaders = lead(node[s:e], signature[s:e])
+            links, leaders = lead(node[s:e], signature[s:e], FOLLOW if many[s] > 1 else follow)
             out += [(int(node[s + a]), int(node[s + b]), None, None) for a, b in links]
             if many[s] > 1:
                 out += [(int(node[s + k]), None, int(band[s]), signature[s + k].tobytes()) for k in leaders]
@@ -356,7 +361,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: f
     members = keys.join(shared, "band").select("band", "node", chunks.alias("chunks"), F.pmod(F.xxhash64("node", "band"), chunks).cast("int").alias("chunk"))
     found = materialise(candidates(members.join(nodes.select("node", "signature"), "node")))
     leaders = found.where("b is null").select("band", F.lit(0).alias("chunk"), F.lit(1).alias("chunks"), F.col("a").alias("node"), "signature")
-    again = candidates(leaders).where("b is not null")
+    again = candidates(leaders, FOLLOW).where("b is not null")
     links = materialise(found.where("b is not null").select("a", "b").unionAll(again.select("a", "b")))
     coarse = components(links)
     coarse = materialise(coarse.unionAll(coarse.select(F.col("root").alias("node"), "root")).distinct())

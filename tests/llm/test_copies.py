@@ -84,6 +84,15 @@ def test_copies_that_differ_in_a_repeated_line(spark):
     assert got == want
 
 
+def test_followers_keep_their_links():
+    """B agrees with the follower A by 0.7, and with A's leader by 0.3 only."""
+    s = np.arange(3 * near_copies.PLACES, dtype=np.uint32).reshape(3, -1)
+    s[1, :39] = s[0, :39]
+    s[2, 20:64] = s[1, 20:64]
+    links, _ = near_copies.lead(np.arange(3), s)
+    assert {frozenset(x) for x in links} == {frozenset((0, 1)), frozenset((1, 2))}
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
     n, places = 300, 4096
