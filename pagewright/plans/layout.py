@@ -105,7 +105,10 @@ def median_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fitted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    units = c.select(F.col("conv_id").alias("page"), F.col("turn").alias("idx"), F.array_join(F.slice(F.split("text", " "), 1, 9), " ").alias("text"), F.when(F.col("turn") % 2 == 0, "dialogue").otherwise("sfx").alias("style"), (60 + F.col("conv_id") % 200).cast("int").alias("w"), (40 + F.col("conv_id") % 150).cast("int").alias("h"))
+    # A box grows with its text: as much space for each word as one of 40 to 190 by 60 to 260 has for nine.
+    stretch = F.greatest(F.lit(1.0), F.sqrt(F.size(F.split("text", "\\s+")) / 9))
+    w, h = (((least + F.col("conv_id") % more) * stretch).cast("int") for least, more in ((60, 200), (40, 150)))
+    units = c.select(F.col("conv_id").alias("page"), F.col("turn").alias("idx"), "text", F.when(F.col("turn") % 2 == 0, "dialogue").otherwise("sfx").alias("style"), w.alias("w"), h.alias("h"))
     return lettering.fit(units).select("page", "idx", "size", F.size("lines").alias("n_lines"), "skip_reason")
 
 

@@ -37,13 +37,13 @@ def ocr_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sanitize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = texts(spark, sf_dir)
-    return u.select("page", "idx", t.sanitized(F.concat(F.lit("“"), F.left("target", F.lit(40)), F.lit("” — "), F.left("source", F.lit(9)))).alias("text"))
+    return u.select("page", "idx", t.sanitized(F.concat(F.lit("“"), F.col("target"), F.lit("” — "), F.col("source"))).alias("text"))
 
 
 def postprocess_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = texts(spark, sf_dir)
-    short = F.concat(F.lit("*"), F.array_join(F.slice(F.split("target", " "), 1, 3), " "), F.when(F.col("idx") % 2 == 0, "-san!").otherwise("-kun*"))
-    return u.select("page", "idx", t.postprocessed(short).alias("text"))
+    titled = F.concat(F.lit("*"), F.col("target"), F.when(F.col("idx") % 2 == 0, "-san!").otherwise("-kun*"))
+    return u.select("page", "idx", t.postprocessed(titled).alias("text"))
 
 
 def needs_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
