@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import rows
+from helpers import rows
 
 from pagewright.operators import ordered, raster
 
