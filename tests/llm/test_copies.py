@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import frame, prose
+from samples import frame, prose
 
 from pagewright.llm import near_copies, repeats
 from pagewright.llm.components import components
@@ -165,8 +165,68 @@ def test_long_text_in_parts(monkeypatch):
     assert parts == whole
 
 
+def removed(df):
+    return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.stripped(df).collect()}
+
+
 def test_repeated_rows_and_columns(repeated):
-    out = repeats.stripped(repeated, keep=("score", "n", "source"), with_text=True)
-    assert out.columns == ["doc_id", "score", "n", "source", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-    got = sorted((str(r["doc_id"]), r["n_removed"] > 0) for r in out.collect())
+    out = repeats.passed(repeated)
+    assert out.columns == repeated.columns
+    got = sorted((str(r["doc_id"]), r["n_removed"] > 0) for r in repeats.stripped(repeated).collect())
     assert got == [("1", True), ("1", True), ("2", False), ("2", False), ("4", True), ("5", False), ("None", True)]
+
+
+def test_columns_with_names_of_results(spark):
+    df = frame(spark, ["a" * 150, "b" * 300, None]).withColumnsRenamed({"score": "kept_text", "kept": "n_removed", "n": "k", "text_2": "rid"})
+    out = repeats.passed(df)
+    assert out.columns == df.columns and {r["doc_id"]: (r["text"], r["n_chars"], r["kept_text"]) for r in out.collect()} == {0: ("a" * 150, 150, "s"), 1: ("", 0, "s"), 2: ("", 0, "s")}
+
+
+@pytest.mark.parametrize("flush", [1 << 20, 7])
+def test_groups_dealt_to_full_depth(spark, monkeypatch, flush):
+    """One passage in every text, with a group bound of three contexts and flushes of all and of few rows."""
+    monkeypatch.setattr(repeats, "FLUSH", flush)
+    monkeypatch.setattr(repeats, "ROWS", min(flush, repeats.ROWS))
+    rng = random.Random(4)
+    passage = prose(rng, 60)
+    values = [prose(rng, rng.randrange(1, 40)) + passage[rng.randrange(3) * 20 :] + prose(rng, rng.randrange(1, 40)) for _ in range(24)] + [passage, passage[:250], passage[100:320] + "x"]
+    df = frame(spark, values).repartition(3)
+    rows = df.select("doc_id", "text")
+    own = repeats.repeated
+    monkeypatch.setattr(repeats, "repeated", lambda found: own(found, 3))
+    assert removed(rows) == brute_repeats(list(enumerate(values)))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_reached_against_brute_force(seed):
+    """Contexts of few letters, cut at row ends, in groups of many."""
+    rng = np.random.default_rng(seed)
+    n = 60
+    around = np.tile(rng.integers(97, 99, repeats.SPAN).astype(np.uint8), (n, 1))
+    for row in around:
+        row[rng.integers(0, repeats.SIDE, rng.integers(0, 3))] = 120
+        row[rng.integers(repeats.SIDE + repeats.GRAM, repeats.SPAN, rng.integers(0, 3))] = 121
+    before, after = rng.choice([100, 100, 60, 45], n), rng.choice([100, 100, 70, 55], n)
+    group = rng.integers(0, 2, n)
+    most, rest = repeats.reached(group, before, after, around)
+    for i in range(n):
+        found = [d for d in range(101) if before[i] >= d and after[i] >= 100 - d and any(j != i and group[j] == group[i] and before[j] >= d and after[j] >= 100 - d and (around[i, 100 - d : 300 - d] == around[j, 100 - d : 300 - d]).all() for j in range(n))]
+        assert (most[i], rest[i]) == ((max(found), 100 - min(found)) if found else (-1, -1)), i
+
+
+def test_digits_with_one_hash(monkeypatch):
+    monkeypatch.setattr(repeats, "digest", lambda digits, seed=0: np.zeros(len(digits), np.uint64))
+    digits = np.array([[1, 2], [3, 4], [1, 2], [3, 5]], np.uint8)
+    got = repeats.refined(np.array([0, 0, 0, 0]), digits)
+    assert got[0] == got[2] and len(set(got.tolist())) == 3
+
+
+def test_many_repeated_rows(spark):
+    """A thousand rows of one text, and one passage in every text."""
+    rng = random.Random(8)
+    passage = prose(rng, 80)
+    values = [passage] * 1000 + [f"{k} {passage} {k * k}" for k in range(300)]
+    df = frame(spark, values, [7] * 1000 + list(range(10, 310)))
+    got = removed(df)
+    assert got == brute_repeats([(7, passage)] * 1000 + [(10 + k, x) for k, x in enumerate(values[1000:])])
+    assert repeats.stripped(df).count() == 1300

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 import tokenizers
-from conftest import frame, prose, texts
+from samples import frame, prose, texts
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
