@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pagewright.llm import language, near_copies, packing, quality_rules, repeats
 from pagewright.llm.queries import RANKS, VOCABULARY, table
@@ -32,9 +31,7 @@ def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur twice or more."""
-    rest = repeats.stripped(docs, keep=tuple(c for c in docs.columns if c != "text"), with_text=True)
-    rest = rest.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast(docs.schema["n_chars"].dataType))
-    return rest.select(*docs.columns)
+    return repeats.passed(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
