@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from .runtime import materialise
 
-#: Rounds at most; the number needed grows with the logarithm of the longest path.
-ROUNDS = 50
-
 
 def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -20,11 +17,12 @@ def components(links: DataFrame) -> DataFrame:
 
     The root is the least node of its component. Each half-round takes the least
     neighbour of each node by an aggregate that combines before the shuffle and joins
-    it back, so a hub's links are never gathered in one row.
+    it back, so a hub's links are never gathered in one row. Rounds go on until nothing changes; their
+    number grows with the logarithm of the longest path.
     """
     now = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(now)
-    for _ in range(ROUNDS):
+    while True:
         # Large star: neighbours above a node go to its least neighbour.
         both = now.select("a", "b").unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

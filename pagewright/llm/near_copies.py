@@ -11,19 +11,20 @@ the probability Jaccard similarity of their sets, which for equal weights is the
 1. Equal texts are folded into one node each, by an aggregate on a digest.
 2. Bands of the signature that several nodes share give groups, split into chunks
    of bounded size. In a chunk, nodes are held against leaders only, and the links
-   kept are a spanning forest, never all pairs. Leaders of the chunks of one band
-   meet in a second pass.
+   kept are a spanning forest, never all pairs.
 3. Components of these links are dealt to tasks, with whole shingle sets, and any pair not
    yet connected whose signatures agree enough is verified: the set Jaccard similarity must reach the
    threshold. Components beyond the bound are split, and their most linked nodes go to each part.
-4. Pairs that a split leaves in different parts, and pairs of a band of several chunks, are held
-   against each other by band, chunk against chunk; those that agree enough and are not in one
-   class yet get both shingle sets by a join and are verified alike.
+4. What that leaves uncompared, pairs of a band in different chunks or parts and not in one class yet,
+   is asked for: in a band the nodes outside its largest class are held against all its nodes, block by block,
+   and pairs that agree enough get both shingle sets by a join and are verified alike. First each asks one block
+   for its nearest, then all blocks, and at last, if any of them has more, for all: so what connects soon is not compared
+   pair by pair, and no pair is left out.
 5. Components of the verified links are the classes.
 
-The class id is the least key in the class. Null and empty texts have no shingles and
-count as copies of each other. Rows that share a key share a class. Only the key
-and the text are read.
+The class id is the least key in the class. Keys are whole numbers. Null and empty texts have no shingles and
+count as copies of each other. Rows that share a key share a class. A row without a key has the class of the rows with the
+same text, and none (null) if no row with that text has a key. Only the key and the text are read.
 """
 
 from __future__ import annotations
@@ -37,17 +38,19 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import U, grams, mix, words
-from .runtime import buffers, join_small, materialise, slices, small_batches
+from .runtime import buffers, join_hot, join_small, materialise, slices, small_batches
 
 #: Words of a shingle, similarity, and signature places as bands of rows.
 WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 4
 PLACES = BANDS * ROWS
-#: Agreement of signatures that makes a node follow a leader, that links it to further ones, and that lets a pair be verified.
-FOLLOW, LINK, VERIFY = 0.6, 0.4, 0.58
+#: Agreement of signatures that links a node to leaders, and that lets a pair be verified.
+LINK, VERIFY = 0.4, 0.58
 #: A follower so near to its leader that whatever agrees with it by VERIFY agrees with the leader by LINK.
 NEAR = LINK + 1 - VERIFY
 #: Nodes of a chunk, nodes whose ids are broadcast at most, hubs of a split component, bytes of text handled at once.
 CHUNK, BROADCAST, HUBS, BYTES = 1024, 500_000, 16, 1 << 20
+#: Rounds of asking: whether a node asks one block or all, and for how many pairs in each.
+ASK = ((True, 4), (False, 32), (False, None))
 
 
 def shingles(data: np.ndarray, at: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -185,8 +188,8 @@ class Forest:
         return True
 
 
-def lead(node: np.ndarray, signature: np.ndarray, follow: float = NEAR) -> tuple[list[tuple[int, int]], list[int]]:
-    """Links of a spanning forest over a group, and the group's leaders; at NEAR the forest joins all that agree by VERIFY."""
+def lead(node: np.ndarray, signature: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a spanning forest over a group that joins all that agree by VERIFY."""
     forest = Forest(len(node))
     links, leaders = [], []
     for i in range(len(node)):
@@ -195,40 +198,33 @@ def lead(node: np.ndarray, signature: np.ndarray, follow: float = NEAR) -> tuple
             for k in np.flatnonzero(alike >= LINK):
                 if node[leaders[k]] != node[i] and forest.join(leaders[k], i):
                     links.append((leaders[k], i))
-            if alike.max() >= follow:
+            if alike.max() >= NEAR:
                 continue
         leaders.append(i)
-    return links, leaders
+    return links
 
 
-def candidates(bands: DataFrame, follow: float = NEAR) -> DataFrame:
-    """Links (a, b) that keep connected what shares a band and agrees; bands has band, chunk, chunks, node, signature.
-
-    In a band of several chunks followers need only agree by FOLLOW, and pairs may stay apart; across() compares them.
-    """
-    names = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("band", pa.int64()), ("signature", pa.binary())])
+def candidates(bands: DataFrame) -> DataFrame:
+    """Links (a, b) that keep connected what shares a chunk of a band and agrees; bands has band, chunk, node, signature."""
+    names = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def work(t: pa.Table) -> list[tuple]:
-        band, chunk, many, node = (t.column(c).to_numpy() for c in ("band", "chunk", "chunks", "node"))
+        band, chunk, node = (t.column(c).to_numpy() for c in ("band", "chunk", "node"))
         signature = matrix(t.column("signature"))
         new = np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (chunk[1:] != chunk[:-1])))
         ends = np.append(new[1:], len(band))
-        out: list[tuple] = []
-        pair = (ends - new == 2) & (many[new] == 1)
+        pair = ends - new == 2
         i = new[pair]
         near = ((signature[i] == signature[i + 1]).mean(axis=1) >= LINK) & (node[i] != node[i + 1])
-        out += [(int(a), int(b), None, None) for a, b in zip(node[i[near]], node[i[near] + 1], strict=True)]
+        out = [(int(a), int(b)) for a, b in zip(node[i[near]], node[i[near] + 1], strict=True)]
         for s, e in zip(new[~pair], ends[~pair], strict=True):
-            links, leaders = lead(node[s:e], signature[s:e], FOLLOW if many[s] > 1 else follow)
-            out += [(int(node[s + a]), int(node[s + b]), None, None) for a, b in links]
-            if many[s] > 1:
-                out += [(int(node[s + k]), None, int(band[s]), signature[s + k].tobytes()) for k in leaders]
+            out += [(int(node[s + a]), int(node[s + b])) for a, b in lead(node[s:e], signature[s:e])]
         return out
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return grouped(rows, ["band", "chunk"], work, names)
 
-    return bands.repartition("band", "chunk").sortWithinPartitions("band", "chunk", "node").mapInArrow(run, "a long, b long, band long, signature binary")
+    return bands.repartition("band", "chunk").sortWithinPartitions("band", "chunk", "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def near(a: np.ndarray, b: np.ndarray, similar: float) -> bool:
@@ -284,36 +280,45 @@ def verified(parts: DataFrame, similar: float) -> DataFrame:
     return parts.repartition("root", "part").sortWithinPartitions("root", "part", "node").mapInArrow(run, "a long, b long")
 
 
-def across(bands: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a band, agree enough to be verified, and are neither in one class nor in one part.
+def across(told: DataFrame, one: bool, most: int | None) -> DataFrame:
+    """(a, b, more): pairs that share a band, agree enough to be verified, and are neither in one class nor in one part.
 
-    bands has band, chunk, chunks, node, signature, root and part of the component, and class.
-    Each chunk of a band meets each other and itself in a block of its own.
+    told has band, node, signature, root and part of the component, and class. In each band the nodes outside its largest
+    class ask all others, `most` pairs in a block at most; more says that a node has others, or has not asked all blocks.
     """
-    names = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    names = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_())])
 
     def work(t: pa.Table) -> list[tuple]:
-        band, low, high, chunk, node, root, part, own = (t.column(c).to_numpy() for c in ("band", "low", "high", "chunk", "node", "root", "part", "class"))
+        band, of, by, asks, blocks, node, root, part, own = (t.column(c).to_numpy() for c in ("band", "of", "by", "asks", "blocks", "node", "root", "part", "class"))
         signature = matrix(t.column("signature"))
-        new = np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+        new = np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (of[1:] != of[:-1]) | (by[1:] != by[:-1])))
         out: list[tuple] = []
         for s, e in zip(new, np.append(new[1:], len(band)), strict=True):
-            # Rows of the block's first chunk stand before those of its second.
-            cut = s + int(np.searchsorted(chunk[s:e], low[s], side="right"))
-            for i in range(s, cut):
-                j = np.arange(i + 1 if low[s] == high[s] else cut, e)
-                j = j[(own[j] != own[i]) & ((root[j] != root[i]) | (part[j] != part[i]))]
-                if len(j):
-                    j = j[(signature[j] == signature[i]).mean(axis=1) >= VERIFY]
-                out += [(min(int(node[i]), x), max(int(node[i]), x)) for x in node[j].tolist()]
+            # Rows that are asked stand before those that ask.
+            cut = s + int(np.searchsorted(asks[s:e], 1))
+            for i in range(cut, e):
+                j = s + np.flatnonzero((own[s:cut] != own[i]) & ((root[s:cut] != root[i]) | (part[s:cut] != part[i])))
+                alike = (signature[j] == signature[i]).mean(axis=1)
+                j, alike = j[alike >= VERIFY], alike[alike >= VERIFY]
+                more = one and blocks[i] > 1
+                if most is not None and len(j) > most:
+                    j, more = j[np.argsort(-alike, kind="stable")[:most]], True
+                out += [(min(int(node[i]), x), max(int(node[i]), x), bool(more)) for x in node[j].tolist()]
         return out
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return grouped(rows, ["band", "low", "high"], work, names)
+        return grouped(rows, ["band", "of", "by"], work, names)
 
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    blocks = bands.select("*", other).withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")}).drop("other", "chunks")
-    return blocks.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "chunk", "node").mapInArrow(run, "a long, b long").distinct()
+    sizes = told.groupBy("band", "class").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("band").agg(F.max(F.struct("n", "class")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("classes")).where("classes > 1")
+    blocks = [F.ceil(n / CHUNK).cast("int") for n in (F.col("n"), F.col("n") - F.col("most.n"))]
+    rows = told.join(sizes.select("band", F.col("most.class").alias("largest"), blocks[0].alias("blocks"), blocks[1].alias("others")), "band")
+    place = F.xxhash64("node", "band")
+    asked = rows.withColumns({"of": F.pmod(place, "blocks").cast("int"), "by": F.explode(F.sequence(F.lit(0), F.col("others") - 1)), "asks": F.lit(0)})
+    asking = rows.where("class <> largest").withColumns({"by": F.pmod(place, "others").cast("int"), "of": F.pmod(F.xxhash64("band", "node"), "blocks").cast("int") if one else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "asks": F.lit(1)})
+    every = asked.unionByName(asking).select("band", "of", "by", "asks", "blocks", "node", "signature", "root", "part", "class")
+    found = every.repartition("band", "of", "by").sortWithinPartitions("band", "of", "by", "asks", "node").mapInArrow(run, "a long, b long, more boolean")
+    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def proved_pairs(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
@@ -352,29 +357,26 @@ def elements(docs: DataFrame, key: str, text: str) -> DataFrame:
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """The key and class_id of each row: the least key of those its text is a copy or, through links, a near copy of."""
     signed = materialise(sign(docs, key, text))
-    copies = materialise(signed.groupBy("digest").agg(F.min("key").alias("node")))
-    folded = signed.join(copies, "digest")
-    nodes = folded.where("key = node").select("node", "bands", "signature")
+    copies = materialise(signed.groupBy("digest").agg(F.min("key").alias("node"), F.count("*").alias("n")))
+    # By key too, so that a large group of copies is not one key of the join.
+    nodes = signed.dropDuplicates(["digest", "key"]).join(copies.select("digest", F.col("node").alias("key")), ["digest", "key"])
+    nodes = materialise(nodes.select(F.col("key").alias("node"), "bands", "signature"))
     keys = nodes.select("node", F.explode("bands").alias("band"))
     shared = materialise(keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     members = keys.join(shared, "band").select("band", "node", chunks.alias("chunks"), F.pmod(F.xxhash64("node", "band"), chunks).cast("int").alias("chunk"))
-    found = materialise(candidates(members.join(nodes.select("node", "signature"), "node")))
-    leaders = found.where("b is null").select("band", F.lit(0).alias("chunk"), F.lit(1).alias("chunks"), F.col("a").alias("node"), "signature")
-    again = candidates(leaders, FOLLOW).where("b is not null")
-    links = materialise(found.where("b is not null").select("a", "b").unionAll(again.select("a", "b")))
+    links = materialise(candidates(members.join(nodes.select("node", "signature"), "node")))
     coarse = components(links)
     coarse = materialise(coarse.unionAll(coarse.select(F.col("root").alias("node"), "root")).distinct())
     sizes = coarse.groupBy("root").agg(F.count("*").alias("n"))
     split = F.ceil(F.col("n") / (2 * CHUNK)).cast("int")
-    placed = coarse.join(sizes, "root").select("node", "root", split.alias("parts"))
+    place = materialise(coarse.join(sizes, "root").select("node", "root", F.pmod(F.xxhash64("node"), split).cast("int").alias("part"), split.alias("parts")))
     # The most linked nodes of a component in several parts go to each of them.
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    large = placed.where("parts > 1")
+    large = place.where("parts > 1")
     # One hub for each hash class of nodes: a maximum, so nothing is gathered by component.
     hubs = large.join(degree, "node").groupBy("root", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("salt")).agg(F.max("parts").alias("parts"), F.max_by("node", "degree").alias("node"))
-    dealt = placed.select("node", "root", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
-    dealt = dealt.unionAll(hubs.select("node", "root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))).distinct()
+    dealt = place.select("node", "root", "part").unionAll(hubs.select("node", "root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))).distinct()
 
     def sets(wanted: DataFrame) -> DataFrame:
         wanted = wanted.select(F.col("node").alias(key)).distinct()
@@ -382,15 +384,20 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: f
 
     final = components(verified(sets(coarse).join(dealt, "node"), similar))
     if not (large.isEmpty() and shared.where(F.col("n") > CHUNK).isEmpty()):
-        # What a split component or a band of several chunks leaves uncompared.
-        place = placed.select("node", "root", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(0).cast("int").alias("part"), "parts")
-        told = members.join(place, "node", "left").where("chunks > 1 or parts > 1")
-        told = told.join(final.select("node", F.col("root").alias("class")), "node", "left").join(nodes.select("node", "signature"), "node")
         # A node of no component is one of its own.
-        told = told.select("band", "chunk", "chunks", "node", "signature", F.coalesce("root", "node").alias("root"), F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("class", "node").alias("class"))
-        pairs = materialise(across(told))
-        if not pairs.isEmpty():
-            more = proved_pairs(pairs, materialise(sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))), similar)
-            final = components(final.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
-    member = signed.select("key", "digest").join(copies, "digest").select("key", "node")
+        told = members.join(place, "node", "left").where("chunks > 1 or parts > 1").join(nodes.select("node", "signature"), "node")
+        told = materialise(told.select("band", "node", "signature", F.coalesce("root", "node").alias("root"), F.coalesce("part", F.lit(0)).alias("part")))
+        tried = None
+        for one, most in ASK:
+            now = told.join(final.select("node", F.col("root").alias("class")), "node", "left").withColumn("class", F.coalesce("class", "node"))
+            found = across(now, one, most)
+            found = materialise(found if tried is None else found.join(tried, ["a", "b"], "left_anti"))
+            more = materialise(proved_pairs(found.select("a", "b"), materialise(sets(found.select(F.explode(F.array("a", "b")).alias("node")))), similar))
+            if not more.isEmpty():
+                final = components(final.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
+            if found.where("more").isEmpty():
+                break
+            tried = found.select("a", "b") if tried is None else tried.unionAll(found.select("a", "b"))
+    least = copies.where("n > 1").select("digest", "n", F.coalesce("node", F.lit(None).cast("long")).alias("node"))
+    member = join_hot(signed.select("key", "digest"), least, "digest").select("key", F.when(F.col("n") > 1, F.col("node")).otherwise(F.col("key")).alias("node"))
     return member.join(final, "node", "left").select(F.col("key").cast(docs.schema[key].dataType).alias(key), F.coalesce("root", "node").cast(docs.schema[key].dataType).alias("class_id"))

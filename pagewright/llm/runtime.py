@@ -24,10 +24,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of our own only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one of our own, in local mode only."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="pagewright-")
         sc.setCheckpointDir(found)
     return found
@@ -47,6 +49,18 @@ def join_small(large: DataFrame, small: DataFrame, on: str | list[str], how: str
     return large.join(F.broadcast(small) if n <= rows else small, on, how)
 
 
+def join_hot(large: DataFrame, small: DataFrame, on: str, part: int = 100_000) -> DataFrame:
+    """Left join on a column of which some values may hold a large part of large; small has it once, with its rows there in n.
+
+    Values with more than a part-th of the rows, so as many at most, are broadcast; the others are shuffled.
+    """
+    bound = large.count() // part
+    hot = F.broadcast(small.where(F.col("n") > bound))
+    found = large.join(hot, on)
+    rest = large.join(hot.select(on), on, "left_anti").join(small.where(F.col("n") <= bound), on, "left")
+    return found.unionByName(rest)
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string or binary column and its n + 1 offsets from 0; null counts as empty."""
     if column.null_count:

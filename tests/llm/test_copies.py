@@ -72,6 +72,40 @@ def test_pairs_of_a_split_component(spark, monkeypatch):
     assert got == want
 
 
+def test_chain_of_many_parts(spark, monkeypatch):
+    """Neighbours alike, all others not, in a component of many parts and bands of many chunks; the class is one."""
+    monkeypatch.setattr(near_copies, "CHUNK", 16)
+    words = [f"w{k}" for k in range(140 + 12 * 90)]
+    texts = [" ".join(words[12 * k : 12 * k + 140]) for k in range(90)]
+    random.Random(1).shuffle(texts)
+    want = brute_classes(list(enumerate(texts)))
+    assert set(want.values()) == {0}
+    assert {r["doc_id"]: r["class_id"] for r in near_copies.classes(frame(spark, texts)).collect()} == want
+
+
+def test_refuted_pairs_of_a_large_band(spark, monkeypatch):
+    """Nodes of one band in several classes, alike to a degree below the threshold, ask until nothing is left."""
+    monkeypatch.setattr(near_copies, "CHUNK", 4)
+    monkeypatch.setattr(near_copies, "ASK", ((True, 1), (False, 2), (False, None)))
+    rng = random.Random(11)
+    same = prose(rng, 100).split()
+    texts = []
+    for k in range(30):
+        own = prose(rng, 22).split()
+        texts += [" ".join(same + own), " ".join(same + own[:-1] + [f"z{k}"])]
+    want = brute_classes(list(enumerate(texts)))
+    assert len(set(want.values())) > 20
+    assert {r["doc_id"]: r["class_id"] for r in near_copies.classes(frame(spark, texts)).collect()} == want
+
+
+def test_rows_without_key(spark):
+    """A unique text without a key has no class id; a copy of a text with a key has its class."""
+    rng = random.Random(12)
+    a, b = prose(rng, 80), prose(rng, 80)
+    got = [(r["doc_id"], r["class_id"]) for r in near_copies.classes(frame(spark, [a, a, b, b], [None, 5, None, None])).collect()]
+    assert sorted(got, key=str) == [(5, 5), (None, 5), (None, None), (None, None)]
+
+
 def test_copies_that_differ_in_a_repeated_line(spark):
     """Shingles that only one text of a pair has occur 200 times there, and count once."""
     rng, texts = random.Random(9), []
@@ -89,7 +123,7 @@ def test_followers_keep_their_links():
     s = np.arange(3 * near_copies.PLACES, dtype=np.uint32).reshape(3, -1)
     s[1, :39] = s[0, :39]
     s[2, 20:64] = s[1, 20:64]
-    links, _ = near_copies.lead(np.arange(3), s)
+    links = near_copies.lead(np.arange(3), s)
     assert {frozenset(x) for x in links} == {frozenset((0, 1)), frozenset((1, 2))}
 
 
