@@ -7,28 +7,16 @@ spread over tasks and never met box by box.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as g
+from pagewright.operators.graph import components as connected
+from pagewright.session import saved
 
 CORNERS = ["x1", "y1", "x2", "y2"]
-ROUNDS = 100
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again, which cuts the lineage of an iteration."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="pagewright-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Side of the cells of the finest grid; each grid is four times as coarse as the one before.
+CELL, COARSER = 256, 4
 
 
 def reading_order(regions: DataFrame, page_width: int, columns: int = 3) -> DataFrame:
@@ -39,23 +27,45 @@ def reading_order(regions: DataFrame, page_width: int, columns: int = 3) -> Data
     return regions.withColumn("place", F.row_number().over(order))
 
 
-def cells(df: DataFrame, size: int, reach: int) -> DataFrame:
-    """A row for each grid cell that a box, grown by reach, touches."""
-    span = [F.sequence(F.floor((F.col(a) - reach) / size), F.floor((F.col(b) + reach) / size)) for a, b in (("x1", "x2"), ("y1", "y2"))]
+def side(level: Column | int) -> Column:
+    """Length of a cell's side of a grid."""
+    return (F.lit(CELL) * F.pow(F.lit(COARSER), level)).cast("long")
+
+
+def graded(df: DataFrame, reach: int) -> tuple[DataFrame, list[int]]:
+    """df with `home`, the finest grid of which a box, grown by reach, takes two cells at most each way, and the grids that occur."""
+    longest = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) + 2 * reach
+    home = F.when(longest <= CELL, 0).otherwise(F.ceil(F.log(longest / CELL) / F.log(F.lit(float(COARSER))))).cast("int")
+    df = df.withColumn("home", home)
+    # A few numbers at most: sides are whole numbers of 64 bits.
+    return df, sorted(r[0] for r in df.select("home").distinct().collect() if r[0] is not None)
+
+
+def cells(df: DataFrame, reach: int) -> DataFrame:
+    """A row for each cell, of the grid `level`, that a box, grown by reach, touches."""
+    span = [F.sequence(F.floor((F.col(a) - reach) / side(F.col("level"))), F.floor((F.col(b) + reach) / side(F.col("level")))) for a, b in (("x1", "x2"), ("y1", "y2"))]
     return df.withColumn("cell_x", F.explode(span[0])).withColumn("cell_y", F.explode(span[1]))
 
 
-def pairs(boxes: DataFrame, test, reach: int = 0, size: int = 256) -> DataFrame:
-    """Pairs a, b (structs of pos and corners, a first) of a page whose boxes, grown by reach, may touch and that pass the test.
+def listed(df: DataFrame, grids: list[int]) -> DataFrame:
+    """A row for each grid that occurs from a box's own on."""
+    levels = F.filter(F.array(*map(F.lit, grids)), lambda x: x >= F.col("home")) if grids else F.array().cast("array<int>")
+    return df.withColumn("level", F.explode(levels))
+
+
+def pairs(boxes: DataFrame, test, reach: int = 0) -> DataFrame:
+    """Pairs a, b (structs of pos and corners, a first) of a page whose boxes are at most `reach` apart each way and that pass the test.
 
-    A pair is made in one cell only: the one that holds the corner where the two grown boxes begin to overlap.
+    Boxes meet in the grid of the larger one, so a box takes four cells of each grid at most, however large it is. A pair is
+    made in one cell only: the one that holds the corner where the two boxes, grown by half of reach, begin to overlap.
     """
+    half = (reach + 1) // 2
     own = F.struct("pos", *CORNERS)
-    gridded = cells(boxes.select("page", "pos", *CORNERS), size, reach)
-    a = gridded.select("page", "cell_x", "cell_y", own.alias("a"))
-    b = gridded.select("page", "cell_x", "cell_y", own.alias("b"))
-    first = [F.floor((F.greatest(f"a.{c}", f"b.{c}") - reach) / size) == F.col(f"cell_{c[0]}") for c in ("x1", "y1")]
-    both = a.join(b, ["page", "cell_x", "cell_y"]).where((F.col("a.pos") < F.col("b.pos")) & first[0] & first[1])
+    rows, grids = graded(boxes.select("page", "pos", *CORNERS), half)
+    gridded = cells(listed(rows, grids), half)
+    a, b = (gridded.select("page", "level", "cell_x", "cell_y", own.alias(n), F.col("home").alias(f"home_{n}")) for n in "ab")
+    first = [F.floor((F.greatest(f"a.{c}", f"b.{c}") - half) / side(F.col("level"))) == F.col(f"cell_{c[0]}") for c in ("x1", "y1")]
+    both = a.join(b, ["page", "level", "cell_x", "cell_y"]).where((F.col("a.pos") < F.col("b.pos")) & (F.col("level") == F.greatest("home_a", "home_b")) & first[0] & first[1])
     return both.where(test(g.box("a"), g.box("b"))).select("page", "a", "b")
 
 
@@ -70,66 +80,68 @@ def overlap_pairs(boxes: DataFrame) -> DataFrame:
     return found.withColumn("iou", g.iou(g.box("a"), g.box("b"))).withColumn("share", g.over_smaller(g.box("a"), g.box("b")))
 
 
-def contained(inner: DataFrame, outer: DataFrame, size: int = 256) -> DataFrame:
+def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """(page, inner, outer): positions of boxes and of the boxes that hold their centre."""
     x, y = g.centre(g.box())
-    points = inner.select("page", F.col("pos").alias("inner"), x.alias("x"), y.alias("y")).withColumn("cell_x", F.floor(F.col("x") / size)).withColumn("cell_y", F.floor(F.col("y") / size))
-    areas = cells(outer.select("page", F.col("pos").alias("outer"), *CORNERS), size, 0)
+    areas, grids = graded(outer.select("page", F.col("pos").alias("outer"), *CORNERS), 0)
+    areas = cells(areas.withColumn("level", F.col("home")), 0)
+    points = listed(inner.select("page", F.col("pos").alias("inner"), x.alias("x"), y.alias("y"), F.lit(0).alias("home")), grids)
+    points = points.withColumn("cell_x", F.floor(F.col("x") / side(F.col("level")))).withColumn("cell_y", F.floor(F.col("y") / side(F.col("level"))))
     inside = (F.col("x1") <= F.col("x")) & (F.col("x") < F.col("x2")) & (F.col("y1") <= F.col("y")) & (F.col("y") < F.col("y2"))
-    return points.join(areas, ["page", "cell_x", "cell_y"]).where(inside).select("page", "inner", "outer")
+    return points.join(areas, ["page", "level", "cell_x", "cell_y"]).where(inside).select("page", "inner", "outer")
 
 
 def closure(boxes: DataFrame, gap: int) -> DataFrame:
     """The boxes left when near ones are joined until none are near, with the least position of each.
 
-    Every box takes the hull of the boxes near to it, itself included, until none grows.
+    Every box takes the hull of the boxes near to it, itself included, until none grows. Only pages on which a
+    box has grown go on to the next round.
     """
-    now = saved(boxes.select("page", "pos", *CORNERS))
-    size = None
-    for _ in range(ROUNDS):
-        # Distinct boxes only: of equal ones the least position stays.
-        now = now.groupBy("page", *CORNERS).agg(F.min("pos").alias("pos"))
+
+    def distinct(df: DataFrame) -> DataFrame:
+        # Of equal boxes the least position stays.
+        return df.groupBy("page", *CORNERS).agg(F.min("pos").alias("pos")).select("page", "pos", *CORNERS)
+
+    now, done = saved(distinct(boxes)), []
+    while True:
         found = near_pairs(now, gap)
         sides = found.select("page", "a", "b").unionAll(found.select("page", F.col("b").alias("a"), F.col("a").alias("b")))
         sides = sides.select("page", F.col("a.pos").alias("at"), *(F.col(f"b.{c}") for c in CORNERS), F.col("b.pos").alias("pos"))
         every = sides.unionByName(now.withColumn("at", F.col("pos")).select("page", "at", *CORNERS, "pos"))
-        hulls = every.groupBy("page", "at").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.min("pos").alias("pos"))
-        now = saved(hulls.select("page", "pos", *CORNERS))
-        was, size = size, now.groupBy("page", *CORNERS).agg(F.min("pos").alias("pos")).agg(F.count("*"), F.sum(g.width(g.box()) + g.height(g.box()))).first()
-        if size == was:
+        own = [F.max(F.when(F.col("pos") == F.col("at"), F.col(c))) for c in CORNERS]
+        hull = [F.min("x1"), F.min("y1"), F.max("x2"), F.max("y2")]
+        grown = own[0] != hull[0]
+        for was, is_now in zip(own[1:], hull[1:], strict=True):
+            grown = grown | (was != is_now)
+        hulls = saved(every.groupBy("page", "at").agg(*(h.alias(c) for h, c in zip(hull, CORNERS, strict=True)), F.min("pos").alias("pos"), grown.alias("grown")))
+        moved = hulls.where("grown").select("page").distinct()
+        done.append(hulls.join(moved, "page", "left_anti").select("page", "pos", *CORNERS))
+        now = saved(distinct(hulls.join(moved, "page", "left_semi")))
+        if now.isEmpty():
             break
-    return now.groupBy("page", *CORNERS).agg(F.min("pos").alias("pos")).select("page", "pos", *CORNERS)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionAll(d)
+    return out
 
 
 def linked(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(page, pos, root): the least position that each node reaches over links (page, a, b)."""
-    both = saved(links.select("page", "a", "b").unionAll(links.select("page", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    now = saved(nodes.select("page", "pos", F.col("pos").alias("root")))
-    for _ in range(ROUNDS):
-        offered = both.join(now.select("page", F.col("pos").alias("b"), "root"), ["page", "b"]).groupBy("page", F.col("a").alias("pos")).agg(F.min("root").alias("least"))
-        new = saved(now.join(offered, ["page", "pos"], "left").select("page", "pos", F.least("root", F.coalesce("least", "root")).alias("root"), (F.col("least") < F.col("root")).alias("moved")))
-        now = new.drop("moved")
-        if new.where("moved").isEmpty():
-            break
-    return now
+    found = connected(links, ["page"]).withColumnRenamed("node", "pos")
+    return nodes.select("page", "pos").join(found, ["page", "pos"], "left").select("page", "pos", F.coalesce("root", "pos").alias("root"))
 
 
 def centroid_clusters(components: DataFrame, distance: int) -> DataFrame:
     """(page, pos, root) of boxes joined where their centres are nearer than a distance."""
 
     def close(a: g.Box, b: g.Box) -> Column:
-        # Twice the centres, so that all is whole.
-        x, y = (a.x1 + a.x2) - (b.x1 + b.x2), (a.y1 + a.y2) - (b.y1 + b.y2)
+        x, y = a.x1 - b.x1, a.y1 - b.y1
         return x * x + y * y < 4 * distance * distance
 
-    # A point at the doubled centre stands for a box, so the grid's reach is the distance alone.
-    points = components.select("page", "pos", *(F.col(c) for c in CORNERS))
-    middles = points.select("page", "pos", F.floor((F.col("x1") + F.col("x2")) / 2).alias("x1"), F.floor((F.col("y1") + F.col("y2")) / 2).alias("y1"))
-    middles = middles.withColumn("x2", F.col("x1") + 1).withColumn("y2", F.col("y1") + 1)
-    found = near_pairs(middles, distance).select("page", F.col("a.pos").alias("a"), F.col("b.pos").alias("b"))
-    ends = [points.select("page", F.col("pos").alias(n), F.struct(*CORNERS).alias(f"box_{n}")) for n in "ab"]
-    found = found.join(ends[0], ["page", "a"]).join(ends[1], ["page", "b"]).where(close(g.box("box_a"), g.box("box_b")))
-    return linked(points, found)
+    # A point at twice the centre stands for a box, so that all is whole.
+    x, y = ((F.col(f"{c}1") + F.col(f"{c}2")).cast("long") for c in "xy")
+    points = components.select("page", "pos", x.alias("x1"), y.alias("y1"), x.alias("x2"), y.alias("y2"))
+    return linked(points, pairs(points, close, 2 * distance).select("page", F.col("a.pos").alias("a"), F.col("b.pos").alias("b")))
 
 
 def dominant_label(pixels: DataFrame, components: DataFrame, least_area: int = 2500) -> DataFrame:

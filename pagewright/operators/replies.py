@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from pagewright.functions import text as t
-from pagewright.operators.regions import saved
+from pagewright.session import saved
 
 #: Texts of a prompt, and tries of a call.
 BATCH, TRIES = 10, 3

@@ -65,6 +65,23 @@ def test_clusters(spark):
     assert got == [(1, 0, 0), (1, 1, 0), (1, 2, 0), (1, 3, 0), (2, 0, 0)]
 
 
+def test_chains_longer_than_a_hundred(spark):
+    row = [(1, i, 100 * i, 0, 100 * i + 10, 10) for i in range(300)]
+    random.Random(1).shuffle(row)
+    df = spark.createDataFrame(row, SCHEMA)
+    assert {x["root"] for x in r.centroid_clusters(df, 101).collect()} == {0}
+    assert [tuple(x) for x in r.closure(df, 90).collect()] == [(1, 0, 0, 0, 29910, 10)]
+
+
+def test_large_boxes_take_few_cells(spark):
+    boxes = [(1, 0, 0, 0, 2_000_000_000, 2_000_000_000), (1, 1, 5, 5, 9, 9), (1, 2, 1_999_999_990, 7, 2_000_000_000, 8), (1, 3, 3_000_000_000, 0, 3_000_000_001, 1)]
+    df = spark.createDataFrame(boxes, SCHEMA)
+    rows_, grids = r.graded(df, 0)
+    assert r.cells(r.listed(rows_, grids), 0).count() < 40
+    assert rows(r.near_pairs(df, 0).select("a.pos", "b.pos")) == [(0, 1), (0, 2)]
+    assert rows(r.contained(df, df).where("inner <> outer").select("inner", "outer")) == [(1, 0), (2, 0)]
+
+
 def test_reading_order(spark):
     centres = [(100, 10), (800, 50), (800, 5), (450, 1)]
     df = spark.createDataFrame([(1, i, x - 1, y - 1, x + 1, y + 1) for i, (x, y) in enumerate(centres)], SCHEMA)
