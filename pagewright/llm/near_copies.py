@@ -36,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from pagewright.operators.graph import components
+
 from .hashing import U, grams, mix, words
 from .runtime import buffers, join_hot, join_small, materialise, slices, small_batches
 
@@ -48,7 +49,9 @@ LINK, VERIFY = 0.4, 0.58
 #: A follower so near to its leader that whatever agrees with it by VERIFY agrees with the leader by LINK.
 NEAR = LINK + 1 - VERIFY
 #: Nodes of a chunk, nodes whose ids are broadcast at most, hubs of a split component, bytes of text handled at once.
-CHUNK, BROADCAST, HUBS, BYTES = 1024, 500_000, 16, 1 << 20
+CHUNK, BROADCAST, HUBS, BYTES = 4096, 500_000, 16, 1 << 20
+#: Shingles that a task holds for one part of a component, as expected.
+ELEMENTS = 1 << 22
 #: Rounds of asking: whether a node asks one block or all, and for how many pairs in each.
 ASK = ((True, 4), (False, 32), (False, None))
 
@@ -110,7 +113,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Key, digest of the text, keys of the bands (none without words) and signature of each row."""
+    """Key, digest of the text, keys of the bands (none without words), signature and number of shingles of each row."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,15 +121,17 @@ def sign(docs: DataFrame, key: str, text: str) -> DataFrame:
             data, at = buffers(b.column(1))
             bands: list = [[]] * b.num_rows
             signed = [b""] * b.num_rows
+            size = np.zeros(b.num_rows, np.int64)
             for i, j in slices(at, BYTES):
                 row, element = shingles(data[at[i] : at[j]], at[i : j + 1] - at[i])
                 s = signatures(row, element, np.ones(len(row)), j - i)
+                size[i:j] = np.bincount(row, minlength=j - i)
                 keys = band_keys(s)
                 for k in np.unique(row):
                     bands[i + k], signed[i + k] = keys[k], s[k].tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(bands, pa.list_(pa.int64())), pa.array(signed, pa.binary())], ["key", "digest", "bands", "signature"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(bands, pa.list_(pa.int64())), pa.array(signed, pa.binary()), pa.array(size)], ["key", "digest", "bands", "signature", "size"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.coalesce(text, F.lit("")).alias("text")).withColumn("digest", F.md5("text")).mapInArrow(run, "key long, digest string, bands array<long>, signature binary")
+    return docs.select(F.col(key).cast("long").alias("key"), F.coalesce(text, F.lit("")).alias("text")).withColumn("digest", F.md5("text")).mapInArrow(run, "key long, digest string, bands array<long>, signature binary, size long")
 
 
 def grouped(rows: Iterator[pa.RecordBatch], by: list[str], work: Callable[[pa.Table], list[tuple]], names: pa.Schema, many: int = 20_000) -> Iterator[pa.RecordBatch]:
@@ -235,6 +240,32 @@ def near(a: np.ndarray, b: np.ndarray, similar: float) -> bool:
     return both >= similar * (len(a) + len(b) - both) - 1e-9
 
 
+def verified_part(node: np.ndarray, signature: np.ndarray, sets: list[np.ndarray], similar: float) -> list[tuple[int, int]]:
+    """Links of verified pairs that span the classes of some nodes."""
+    n = len(node)
+    sizes = np.array([len(x) for x in sets])
+    ends = np.append(0, np.cumsum(sizes))
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    mine = np.zeros(len(values), bool)
+    own, out = np.arange(n), []
+    for i in range(1, n):
+        other = np.flatnonzero((own[:i] != own[i]) & (node[:i] != node[i]))
+        # Pairs whose sizes alone keep them below the threshold are none.
+        other = other[np.minimum(sizes[other], sizes[i]) >= similar * np.maximum(sizes[other], sizes[i])]
+        other = other[(signature[other] == signature[i]).mean(axis=1) >= VERIFY]
+        if not len(other):
+            continue
+        mine[place[ends[i] : ends[i + 1]]] = True
+        hits = mine[np.concatenate([place[ends[k] : ends[k + 1]] for k in other])]
+        mine[place[ends[i] : ends[i + 1]]] = False
+        both = np.add.reduceat(hits, np.append(0, np.cumsum(sizes[other])[:-1]), dtype=np.int64)
+        for k in other[both >= similar * (sizes[other] + sizes[i] - both) - 1e-9].tolist():
+            if own[k] != own[i]:
+                out.append((int(node[k]), int(node[i])))
+                own[own == own[i]] = own[k]
+    return out
+
+
 def verified(parts: DataFrame, similar: float) -> DataFrame:
     """Links (a, b) of verified pairs that span each part's classes; parts has root, part, node, elements, signature."""
     names = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -248,30 +279,7 @@ def verified(parts: DataFrame, similar: float) -> DataFrame:
         ends = np.append(new[1:], len(root))
         out: list[tuple] = []
         for s, e in zip(new, ends, strict=True):
-            forest = Forest(e - s)
-            small: dict[int, frozenset] = {}
-            for i in range(1, e - s):
-                alike = (signature[s : s + i] == signature[s + i]).mean(axis=1)
-                order = np.flatnonzero(alike >= VERIFY)
-                order = order[np.argsort(-alike[order], kind="stable")]
-                a = sets[s + i]
-                for k in order.tolist():
-                    if node[s + k] == node[s + i] or forest.find(k) == forest.find(i):
-                        continue
-                    b = sets[s + k]
-                    if e - s > 8 and max(len(a), len(b)) < 4000:
-                        if min(len(a), len(b)) < similar * max(len(a), len(b)):
-                            continue
-                        for x in (i, k):
-                            if x not in small:
-                                small[x] = frozenset(sets[s + x].tolist())
-                        both = len(small[i] & small[k])
-                        ok = both >= similar * (len(a) + len(b) - both) - 1e-9
-                    else:
-                        ok = near(a, b, similar)
-                    if ok:
-                        forest.join(k, i)
-                        out.append((int(node[s + k]), int(node[s + i])))
+            out += verified_part(node[s:e], signature[s:e], sets[s:e], similar)
         return out
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,7 +368,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: f
     copies = materialise(signed.groupBy("digest").agg(F.min("key").alias("node"), F.count("*").alias("n")))
     # By key too, so that a large group of copies is not one key of the join.
     nodes = signed.dropDuplicates(["digest", "key"]).join(copies.select("digest", F.col("node").alias("key")), ["digest", "key"])
-    nodes = materialise(nodes.select(F.col("key").alias("node"), "bands", "signature"))
+    nodes = materialise(nodes.select(F.col("key").alias("node"), "bands", "signature", "size"))
     keys = nodes.select("node", F.explode("bands").alias("band"))
     shared = materialise(keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
@@ -368,8 +376,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: f
     links = materialise(candidates(members.join(nodes.select("node", "signature"), "node")))
     coarse = components(links)
     coarse = materialise(coarse.unionAll(coarse.select(F.col("root").alias("node"), "root")).distinct())
-    sizes = coarse.groupBy("root").agg(F.count("*").alias("n"))
-    split = F.ceil(F.col("n") / (2 * CHUNK)).cast("int")
+    sizes = coarse.join(nodes.select("node", "size"), "node").groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    split = F.ceil(F.greatest(F.col("n") / (2 * CHUNK), F.col("size") / ELEMENTS)).cast("int")
     place = materialise(coarse.join(sizes, "root").select("node", "root", F.pmod(F.xxhash64("node"), split).cast("int").alias("part"), split.alias("parts")))
     # The most linked nodes of a component in several parts go to each of them.
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))

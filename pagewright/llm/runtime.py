@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.session import saved as materialise
+
+__all__ = ["buffers", "join_hot", "join_small", "materialise", "slices", "small_batches"]
+
 #: Rows of an Arrow batch handed to Python; texts are long, so the default of 10,000 is too many.
 ARROW_ROWS = 1000
 
@@ -23,26 +25,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, a temporary one of our own, in local mode only."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="pagewright-")
-        sc.setCheckpointDir(found)
-    return found
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def join_small(large: DataFrame, small: DataFrame, on: str | list[str], how: str, rows: int) -> DataFrame:
     """Join with a broadcast if small has at most so many rows, counted first, else with a shuffle."""
     n = small.limit(rows + 1).count()

@@ -9,7 +9,7 @@ import pytest
 from samples import frame, prose
 
 from pagewright.llm import near_copies, repeats
-from pagewright.llm.components import components
+from pagewright.operators.graph import components
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
