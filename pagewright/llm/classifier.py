@@ -8,7 +8,7 @@ A score is a sparse dot product through the logistic function. Null and empty
 texts have no feature, so the bias alone scores them.
 
 The model is trained on a bounded sample: the labelled rows, not held out, with
-the least hash of the key, `sample` of them at most. Everything is scored. Of
+the least hash of the key, `sample` of them at most, and so many that their features stay within a number of bytes. Everything is scored. Of
 several labels of one key, and of repeated keys, each counts as a row. A null
 label is no label.
 """
@@ -20,14 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import U, grams, mix, words
-from .runtime import buffers, slices, small_batches
+from .runtime import buffers, materialise, slices, small_batches
 
 #: Weights, labelled rows learned from at most, passes over them, and bytes of text handled at once.
 BUCKETS, SAMPLE, PASSES, CHUNK = 1 << 18, 6000, 3, 1 << 20
+#: Bytes of features learned from at most: rows of the sample beyond them are left out, in the sample's order.
+FEATURES = 1 << 27
 #: Rate, its offset, and the two penalties of the leader.
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.5
 
@@ -112,7 +114,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                     values[i + k] = value[cut[k] : cut[k + 1]].astype("<f4").tobytes()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(buckets, pa.binary()), pa.array(values, pa.binary())], [key, "label", "bucket", "value"])
 
-    rows = sample(docs, labels, key, text, label, most, parts, part).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, label int, bucket binary, value binary").toArrow().to_pylist()
+    found = sample(docs, labels, key, text, label, most, parts, part).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, label int, bucket binary, value binary")
+    found = materialise(found.withColumn("__order", F.xxhash64(F.col(key).cast("string"))))
+    # Rows of repeated keys beyond the sample's size are bounded by their features' bytes, summed in the sample's order.
+    size = F.sum(F.octet_length("bucket") + F.octet_length("value")).over(Window.orderBy("__order", key, "label", "bucket").rowsBetween(Window.unboundedPreceding, 0))
+    rows = found.withColumn("__bytes", size).where(F.col("__bytes") <= FEATURES).drop("__bytes", "__order").toArrow().to_pylist()
     rows.sort(key=lambda r: (zlib.crc32(str(r[key]).encode()), str(r[key]), r["label"], r["bucket"]))
     return train([(np.frombuffer(r["bucket"], "<i4").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(float), r["label"]) for r in rows])
 

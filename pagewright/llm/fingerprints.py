@@ -7,7 +7,7 @@ the sketch of the whole by taking the k least of their union. From sketches come
 estimates of resemblance, containment and the distinct shingle count, exact while
 a sketch holds fewer than k hashes. Two empty sketches resemble each other fully.
 
-Null texts count as empty. A null key orders before all others; rows with the same
+Null texts count as empty. Keys are whole numbers, however far apart. A null key orders before all others; rows with the same
 key order by a hash of their text.
 """
 
@@ -16,12 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import join_small
+from .runtime import join_small, materialise
 
 #: Hashes of a sketch, words of a shingle, and bits of a hash.
 K, WORDS, BITS = 128, 5, 48
-#: Bits of the key values of a block, which one task orders, and of the blocks of a group; blocks whose first keys are broadcast at most.
-BLOCK, GROUP, BROADCAST = 8, 16, 500_000
+#: Bits of the key values of a block, which one task orders; blocks whose first keys are broadcast at most.
+BLOCK, BROADCAST = 8, 500_000
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -84,12 +84,12 @@ def followed(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = docs.select(F.col(key).alias("__key"), order.alias("__order"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     rows = rows.withColumn("__block", F.shiftright("__order", BLOCK)).withColumn("__hash", F.xxhash64("__text")).withColumn("__mark", F.lit(False))
     firsts = docs.select(order.alias("__order")).groupBy(F.shiftright("__order", BLOCK).alias("__block")).agg(F.min("__order").alias("__first"))
-    # Two levels, so that no task orders more than the groups of blocks.
-    firsts = firsts.withColumn("__group", F.shiftright("__block", GROUP))
-    groups = firsts.groupBy("__group").agg(F.min("__first").alias("__start"))
-    whole = Window.orderBy("__group")
-    groups = groups.select("__group", F.coalesce(F.lead("__start").over(whole), F.first("__start").over(whole)).alias("__after"))
-    firsts = firsts.withColumn("__next", F.lead("__first").over(Window.partitionBy("__group").orderBy("__block"))).join(groups, "__group")
+    # Blocks in ranges, each ordered by a task; of the ranges, as many as shuffle partitions at most, one task takes the first keys.
+    firsts = materialise(firsts.repartitionByRange("__block").withColumn("__range", F.spark_partition_id()))
+    ranges = firsts.groupBy("__range").agg(F.min("__first").alias("__start"))
+    whole = Window.orderBy("__start")
+    ranges = ranges.select("__range", F.coalesce(F.lead("__start").over(whole), F.first("__start").over(whole)).alias("__after"))
+    firsts = firsts.withColumn("__next", F.lead("__first").over(Window.partitionBy("__range").orderBy("__block"))).join(F.broadcast(ranges), "__range")
     ends = firsts.select("__block", F.coalesce("__next", "__after").alias("__order"))
     after = join_small(rows.select("__order", "__hash", "__text"), ends, "__order", "inner", BROADCAST)
     after = after.groupBy("__block").agg(F.min_by("__text", "__hash").alias("__text"))

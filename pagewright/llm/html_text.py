@@ -33,11 +33,13 @@ OTHER = frozenset("aside button dialog footer form menu nav select".split())
 HINTS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|buttons?|captcha|comments?|consent|cookies?|copyright|disclaimer|disqus|foot|footer|form|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|outbrain|overlay|pager|pagination|popup|promo\w*|recommended|related|replies|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|taboola|tags|toolbar|topbar|widget|complementary|contentinfo|alert)(?:$|[\s_-])", re.I)
 REMARKS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies|respond)(?:$|[\s_-])", re.I)
 
+# Quantifiers give nothing back and are bounded, so that an unclosed quote or tag costs no more than a fixed number of steps.
+ATTRIBUTES = r"(?:[^>\"']{1,65536}+|\"[^\"]{0,65536}+\"|'[^']{0,65536}+'){0,200}+"
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|title|noscript|template|textarea|svg|math|iframe|object|noframes)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>",
+    rf"|<(?P<raw>script|style|title|noscript|template|textarea|svg|math|iframe|object|noframes)\b{ATTRIBUTES}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]{{0,100}}+)(?P<rest>{ATTRIBUTES})>"
+    r"|<[!?/a-zA-Z][^>]{0,8192}+>",
     re.S | re.I,
 )
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -121,12 +123,23 @@ def decide(tree: Node, row: tuple) -> int:
 def blocks(page: str | None) -> list[Block]:
     """The flat text blocks of a page in order."""
     found: list[list] = []
-    open_regions: list[tuple[str, bool, bool]] = []  # element, named otherwise, reader comments
+    # Element, named otherwise, reader comments; a region that an article's start has closed is None. Numbers of open ones
+    # and of elements by name spare a look through the stack for each block or end tag.
+    open_regions: list[tuple[str, bool, bool] | None] = []
+    others: list[int] = []
+    count: dict[str, int] = {}
+    n_inside = n_remarks = 0
     parts: list[str] = []
     linked: list[str] = []
     link, heading, article = False, 0, False
     page = page or ""
 
+    def shut(region: tuple[str, bool, bool]) -> None:
+        nonlocal n_inside, n_remarks
+        count[region[0]] -= 1
+        n_inside -= region[0] in ("article", "main")
+        n_remarks -= region[2]
+
     def close() -> None:
         nonlocal link
         if parts:
@@ -134,8 +147,7 @@ def blocks(page: str | None) -> list[Block]:
             if text:
                 n = text.count(" ") + 1
                 in_links = len(html.unescape(" ".join(linked)).split())
-                inside = any(x[0] in ("article", "main") for x in open_regions)
-                found.append([text, inside, int(any(x[1] for x in open_regions)), heading, n, min(1.0, in_links / n)])
+                found.append([text, n_inside > 0, int(len(others) > 0), heading, n, min(1.0, in_links / n)])
             parts.clear()
             linked.clear()
         link = False
@@ -163,20 +175,31 @@ def blocks(page: str | None) -> list[Block]:
             heading = 0 if end else 1
         elif name in REGIONS:
             if end:
-                for k in range(len(open_regions) - 1, -1, -1):
-                    if open_regions[k][0] == name:
-                        del open_regions[k:]
-                        break
+                while count.get(name):
+                    region = open_regions.pop()
+                    if region:
+                        shut(region)
+                        if region[1]:
+                            others.pop()
+                        if region[0] == name:
+                            break
             elif not m["rest"].rstrip().endswith("/"):
                 named = " ".join(next(filter(None, x), "") for x in NAMED.findall(m["rest"])) if "=" in m["rest"] else ""
                 remarks = bool(named and REMARKS.search(named))
                 if name in ("article", "main"):
-                    if not any(x[2] for x in open_regions):
-                        open_regions = [x for x in open_regions if not x[1]]
-                    article = article or not remarks and not any(x[2] for x in open_regions)
-                inside = any(x[0] in ("article", "main") for x in open_regions)
-                other = remarks or name in OTHER or name == "header" and not inside or name not in ("article", "main") and bool(named and HINTS.search(named)) and not (inside and name == "header")
+                    if not n_remarks:
+                        for k in others:
+                            shut(open_regions[k])
+                            open_regions[k] = None
+                        others.clear()
+                    article = article or not remarks and not n_remarks
+                other = remarks or name in OTHER or name == "header" and not n_inside or name not in ("article", "main") and bool(named and HINTS.search(named)) and not (n_inside and name == "header")
+                if other:
+                    others.append(len(open_regions))
                 open_regions.append((name, other, remarks))
+                count[name] = count.get(name, 0) + 1
+                n_inside += name in ("article", "main")
+                n_remarks += remarks
             heading = 0
     if at < len(page):
         parts.append(page[at:])

@@ -25,6 +25,9 @@ from .runtime import buffers, slices, small_batches
 
 #: Buckets, lengths of n-grams, and bytes of text handled at once.
 BUCKETS, ORDERS, CHUNK = 1 << 15, (2, 3), 1 << 19
+PAD = max(ORDERS) - 1
+#: Characters of one text handled at once.
+PART = 1 << 20
 SMOOTH = 0.1
 
 _letters: list[np.ndarray] = []
@@ -38,7 +41,7 @@ def letters() -> np.ndarray:
 
 
 def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Row range, code points with a space before each text and at the end, and the place of each of those spaces."""
+    """Row range, code points with PAD spaces before each text and at the end, and the place of the first of them: no n-gram has letters of two texts."""
     column = pc.utf8_lower(pc.fill_null(column, ""))
     data, at = buffers(column)
     sizes = pc.utf8_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -50,7 +53,7 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         if ends[-1] != len(code):  # lengths that the decoder disagrees with
             parts = [x.decode("utf-8", "replace") for x in (data[at[k] : at[k + 1]].tobytes() for k in range(i, j))]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-        yield i, j, np.append(np.insert(code, ends[:-1], 32), np.uint32(32)), ends[:-1] + np.arange(j - i)
+        yield i, j, np.append(np.insert(code, np.repeat(ends[:-1], PAD), 32), np.full(PAD, 32, np.uint32)), ends[:-1] + PAD * np.arange(j - i)
 
 
 def buckets(code: np.ndarray, n: int) -> np.ndarray:
@@ -69,6 +72,14 @@ def buckets(code: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def counts(code: np.ndarray, n: int) -> np.ndarray:
+    """How often each bucket occurs among the n-grams of one text, which is read in parts."""
+    out = np.zeros(BUCKETS + 1, np.int64)
+    for s in range(0, len(code), PART):
+        out += np.bincount(buckets(code[s : s + PART + n - 1], n)[:PART], minlength=BUCKETS + 1)
+    return out
+
+
 def held_out(key: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
     """Whether the CRC-32 of the key as text leaves this remainder."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % parts == part
@@ -85,6 +96,10 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang") -> tuple[lis
             for i, j, code, first in chunks(column):
                 own = sorted(set(names[i:j]))
                 number = {x: k for k, x in enumerate(own)}
+                if j - i == 1:
+                    for n in ORDERS:
+                        found[own[0]] = found.get(own[0], 0) + counts(code, n)[:BUCKETS]
+                    continue
                 lang = np.repeat([number[x] for x in names[i:j]], np.diff(np.append(first, len(code))))
                 for n in ORDERS:
                     c = np.bincount(lang * (BUCKETS + 1) + buckets(code, n), minlength=len(own) * (BUCKETS + 1)).reshape(len(own), -1)[:, :BUCKETS]
@@ -115,7 +130,8 @@ def decide(column: pa.Array, model: tuple[list[str], np.ndarray]) -> tuple[np.nd
         for i, j, code, first in chunks(column):
             total = np.zeros((j - i, len(names)))
             for n in ORDERS:
-                total += np.add.reduceat(table[buckets(code, n)], first, axis=0, dtype=np.float64)
+                # A text alone may be long: its n-grams are counted, not looked up one by one.
+                total += counts(code, n) @ table.astype(np.float64) if j - i == 1 else np.add.reduceat(table[buckets(code, n)], first, axis=0, dtype=np.float64)
             some = np.add.reduceat((code != 32).astype(np.int64), first) > 0
             p = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
             best[i:j], score[i:j] = np.where(some, total.argmax(axis=1), -1), np.where(some, p, 0)

@@ -1,7 +1,8 @@
 """License scans: phrases in whole texts, and an exact set-similarity join of text blocks with license templates.
 
 All of it is DataFrame expressions. Words are runs of digits, letters a to z after lower-casing
-A to Z, and characters beyond ASCII. The blocks of a text are its lines. A block
+A to Z, and characters beyond ASCII. The blocks of a text are windows of 96 words at every 64th word, whatever lines they stand
+on, so every passage of 33 words or fewer, and each template is one, is whole in some block. A block
 meets a template if it has at least the threshold's share of the template's distinct words. The
 join finds every such block: template words are ordered by the number of blocks
 that have them, rarest first; a block that meets the template has one of the
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: Share of a template's distinct words that a block must have.
 CONTAINED = 0.8
+#: Words of a block, and from one block's start to the next.
+BLOCK, STEP = 96, 64
 # Phrases and their labels; labels and texts of license notices.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 TEMPLATES = [
@@ -59,10 +62,12 @@ def template_words(templates: list[tuple[str, str]]) -> list[tuple[str, set[str]
 
 
 def blocks(docs: DataFrame, vocabulary: list[str], keep: list[str]) -> DataFrame:
-    """Rows of the columns to keep and `own`, the distinct template words of a line that has any; docs has __low."""
-    lines = docs.select(*keep, F.explode_outer(F.split("__low", "\n")).alias("line"))
-    own = F.array_intersect(words("line"), F.array(*map(F.lit, vocabulary)))
-    return lines.select(*keep, own.alias("own")).where(F.size("own") > 0)
+    """Rows of the columns to keep and `own`, the distinct template words of a block that has any; docs has __words."""
+    n = F.size("__words")
+    starts = F.when(n > 0, F.sequence(F.lit(1), F.greatest(F.lit(1), n - BLOCK + STEP), F.lit(STEP)))
+    found = docs.select(*keep, "__words", F.explode_outer(starts).alias("start"))
+    own = F.array_intersect(F.slice("__words", F.coalesce("start", F.lit(1)), F.lit(BLOCK)), F.array(*map(F.lit, vocabulary)))
+    return found.select(*keep, own.alias("own")).where(F.size("own") > 0)
 
 
 def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
@@ -72,7 +77,7 @@ def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
 
 
 def matches(docs: DataFrame, keep: list[str], templates: list[tuple[str, str]] = TEMPLATES, contained: float = CONTAINED) -> DataFrame:
-    """The columns to keep, label and share of every block and template that meet; docs has __low."""
+    """The columns to keep, label and share of every block and template that meet; docs has __words."""
     spark = docs.sparkSession
     told = template_words(templates)
     vocabulary = sorted(set().union(*(w for _, w in told)))
@@ -103,8 +108,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: li
     score is 1 where a phrase occurs, else the largest share of a template that a block meets, else 0.
     """
     rows = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text")).withColumn("__low", lowered(F.col("__text"))).withColumn("__id", F.xxhash64("__text"))
-    found = matches(rows, ["__key", "__id"], templates, contained).groupBy("__key", "__id").agg(F.collect_set("label").alias("__more"), F.max("share").alias("__share"))
     rows = rows.select("__key", "__id", words("__low").alias("__words"))
+    found = matches(rows, ["__key", "__id"], templates, contained).groupBy("__key", "__id").agg(F.collect_set("label").alias("__more"), F.max("share").alias("__share"))
     joined = F.concat(F.lit(" "), F.array_join("__words", " "), F.lit(" "))
     some = F.lit(False)
     for phrase in PHRASES:
@@ -126,7 +131,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: li
     every = F.flatten(F.transform("__places", lambda p: p["at"]))
     base = F.array_sort(F.array_distinct(F.transform(F.filter("__places", lambda p: F.size(p["at"]) > 0), lambda p: p["label"])))
     rows = rows.select("__key", "__id", "n_words", every.alias("__at"), base.alias("__base"))
-    rows = rows.join(found, ["__key", "__id"], "left")
+    found = found.withColumnsRenamed({"__key": "__key_found", "__id": "__id_found"})
+    rows = rows.join(found, (F.col("__id") == F.col("__id_found")) & F.col("__key").eqNullSafe(F.col("__key_found")), "left")
     labels = F.array_sort(F.array_union("__base", F.coalesce("__more", F.array().cast("array<string>"))))
     return rows.select(
         F.col("__key").alias(key), "n_words", F.size("__at").cast("long").alias("n_base"),

@@ -3,9 +3,9 @@
 A packer holds a fixed number of open bins. A bitset has a bit for each free
 space that an open bin has; the lowest bit at or above a piece's length is the
 best fit. Where nothing fits, a bin is opened, and beyond the fixed number the
-fullest is closed. Pieces are dealt to shards of a bounded expected size by a hash
-of their document and number, so the tasks stay small at every input size and no key
-can be hot. A shard's pieces arrive longest first, which leaves the short ones to fill up.
+fullest is closed. Pieces arrive in the order of their documents, and are placed as they arrive. They are dealt to
+shards of a bounded expected size by a hash of their document, number and row, so the tasks stay small at every input
+size and no key can be hot.
 
 Empty and null texts have the one end token. Repeated rows are packed as often
 as they occur.
@@ -27,7 +27,7 @@ from .bpe import tokenizer
 from .runtime import materialise, small_batches
 
 #: Tokens of a sequence, open bins of a packer, and pieces of a shard as expected.
-SIZE, OPEN, SHARD = 1024, 1 << 15, 65_536
+SIZE, OPEN, SHARD = 1024, 256, 65_536
 
 
 def pieces(docs: DataFrame, path: str, ranks: str | None = None, end: int = 2, size: int = SIZE, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -88,19 +88,22 @@ class Packer:
 
 
 def pack(parts: DataFrame, size: int = SIZE, most: int = OPEN, shard: int = SHARD, key: str = "doc_id") -> DataFrame:
-    """parts with sequence_id and offset; parts need the key, piece and length, and keep their other columns."""
+    """parts with sequence_id and offset; parts need the key, piece and length, and keep their other columns.
+
+    parts must be a written table, as the number of a row in it has a share in the shard.
+    """
     n = max(1, -(-parts.count() // shard))
     schema = StructType([*parts.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
     def run(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", key, "piece"], ascending=[False, True, True], kind="stable", ignore_index=True).drop(columns="__shard")
+        rows = rows.sort_values([key, "piece"], kind="stable", ignore_index=True).drop(columns="__shard")
         p = Packer(size, most)
         placed = [p.place(x) for x in rows["length"].tolist()]
         rows["sequence_id"] = [(k[0] << 40) + b for b, _ in placed]
         rows["offset"] = [o for _, o in placed]
         return rows
 
-    return parts.withColumn("__shard", F.pmod(F.xxhash64(key, "piece"), F.lit(n)).cast("long")).groupBy("__shard").applyInPandas(run, schema)
+    return parts.withColumn("__shard", F.pmod(F.xxhash64(key, "piece", F.monotonically_increasing_id()), F.lit(n)).cast("long")).groupBy("__shard").applyInPandas(run, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, ranks: str | None = None, end: int = 2, size: int = SIZE, most: int = OPEN, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -62,7 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def license_sql() -> str:
-    """The license scan by brute force: every line against every template."""
+    """The license scan by brute force: every block of words against every template."""
     word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
     templates = ", ".join(f"('{label}', {sorted(own)})" for label, own in license_scan.template_words(license_scan.TEMPLATES))
     phrases = []
@@ -76,8 +76,8 @@ def license_sql() -> str:
   f as ({" union all ".join(phrases)}),
   b as (select doc_id, count(*) as n_base, min(i) as first_word, max(i) as last_word, string_agg(distinct label, ',' order by label) as base_labels from f group by doc_id),
   t(label, own) as (values {templates}),
-  l as (select doc_id, unnest(string_split(low, chr(10))) as line from d),
-  s as (select doc_id, list_distinct(regexp_extract_all(line, '{word}')) as ws from l),
+  l as (select doc_id, ws, unnest(range(0, greatest(1, len(ws) - {license_scan.BLOCK - license_scan.STEP}), {license_scan.STEP})) as b from w where len(ws) > 0),
+  s as (select doc_id, list_distinct(list_slice(ws, b + 1, b + {license_scan.BLOCK})) as ws from l),
   m as (select s.doc_id, t.label, len(list_intersect(s.ws, t.own)) / cast(len(t.own) as double) as share from s, t),
   k as (select doc_id, label, share from m where share >= {license_scan.CONTAINED} - 1e-12),
   e as (select doc_id, string_agg(distinct label, ',' order by label) as labels from (select doc_id, label from k union all select doc_id, label from f) group by doc_id),

@@ -69,6 +69,13 @@ def test_packing(docs, none, repeated):
     assert packing.pack_documents(repeated, VOCABULARY, RANKS).count() >= 7
 
 
+def test_equal_rows_are_dealt_to_all_shards(spark):
+    rows = spark.createDataFrame([(None, 0, 700)] * 400, "doc_id long, piece int, length long").repartition(4)
+    got = packing.pack(packing.materialise(rows), shard=50).collect()
+    shards = [r["sequence_id"] >> 40 for r in got]
+    assert len(set(shards)) == 8 and max(map(shards.count, set(shards))) < 120 and len({r["sequence_id"] for r in got}) == 400
+
+
 @given(st.lists(st.integers(1, 64), max_size=300), st.integers(1, 9))
 @settings(max_examples=100, deadline=None)
 def test_packer_is_best_fit_over_few_bins(lengths, most):
@@ -125,11 +132,45 @@ def test_language_counts_by_hand():
     column = pa.array(["Abc, dé!", None, "9", "xyz" * 50])
     best, score = language.decide(column, (["a", "b", "c"], table))
     for k, t in enumerate(["Abc, dé!", "", "9", "xyz" * 50]):
-        code = np.array([32] + [ord(c) if c.isalpha() else 32 for c in t.lower()] + [32] * 4, np.uint32)
-        total = sum(table[language.buckets(code, n)][: len(t) + 1].sum(axis=0, dtype=float) for n in language.ORDERS)
+        code = np.array([32] * 2 + [ord(c) if c.isalpha() else 32 for c in t.lower()] + [32] * 4, np.uint32)
+        total = sum(table[language.buckets(code, n)][: len(t) + 2].sum(axis=0, dtype=float) for n in language.ORDERS)
         assert best[k] == (total.argmax() if any(c.isalpha() for c in t) else -1)
 
 
+def test_language_of_a_long_text(monkeypatch):
+    """A text alone in its slice, read in parts, scores as it does among others."""
+    import pyarrow as pa
+
+    table = np.random.default_rng(0).random((language.BUCKETS + 1, 3)).astype(np.float32)
+    table[language.BUCKETS] = 0
+    text = prose(random.Random(2), 400, "zü")
+    model = ["a", "b", "c"], -table / 50
+    among = language.decide(pa.array([text, "x"]), model)
+    monkeypatch.setattr(language, "PART", 64)
+    alone = language.decide(pa.array([text]), model)
+    assert alone[0][0] == among[0][0] and alone[1][0] == pytest.approx(among[1][0], rel=1e-4)
+
+
+def test_language_counts_against_a_plain_count(spark):
+    """The table by a plain loop over n-grams, from the buckets of each."""
+    import collections
+
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 20, k), LANGS[k]) for i, k in enumerate(list(LANGS) * 4)]
+    names, table = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    want = {x: collections.Counter() for x in names}
+    for _, t, lang in rows:
+        code = np.array([32] + [ord(c) if c.isalpha() else 32 for c in t.lower()] + [32], np.uint32)
+        for n in language.ORDERS:
+            for k in range(len(code) - n + 1):
+                if any(code[k : k + n] != 32):
+                    want[lang][int(language.buckets(code[k : k + n], n)[0])] += 1
+    for j, x in enumerate(names):
+        n = np.full(language.BUCKETS, language.SMOOTH)
+        n[list(want[x])] += list(want[x].values())
+        assert np.allclose(table[:-1, j], np.log(n / n.sum()), atol=1e-5)
+
+
 def test_classifier(spark, none):
     rng = random.Random(6)
     rows, labels = [], []
@@ -157,6 +198,71 @@ def test_classifier_learns_from_a_bounded_sample(spark):
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 for r in classifier.sample(df, lab).collect())
 
 
+def test_classifier_s_sample_is_bounded_in_bytes(spark, monkeypatch):
+    df = frame(spark, [f"a{k} b{k}" for k in range(40)])
+    lab = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    told = []
+    monkeypatch.setattr(classifier, "train", lambda rows: told.append(len(rows)) or np.zeros(classifier.BUCKETS + 1))
+    classifier.fit(df, lab)
+    monkeypatch.setattr(classifier, "FEATURES", 200)
+    classifier.fit(df, lab)
+    assert told[0] > 20 and 0 < told[1] < 10
+
+
+def by_hand(text, bits):
+    """Features of a text as the docstring has them, by plain loops; None for what has no word."""
+    import re
+
+    from pagewright.llm.hashing import U, mix, words
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    data = np.frombuffer(text.encode(), np.uint8)
+    h = words(data, np.array([0, len(data)]))[2] if len(data) else []
+    shapes = []
+    for k, x in enumerate(w):
+        n_up, n_low = sum("A" <= c <= "Z" for c in x), sum("a" <= c <= "z" for c in x)
+        n_sym, n_dig = sum(c in "#*$%&|<>!?@=_~^{}[]\\/+" for c in x), sum("0" <= c <= "9" for c in x)
+        same = (1 if k > 0 and w[k - 1] == x else 0) | (2 if k > 1 and w[k - 2] == x else 0)
+        shapes.append((n_up > 1 and n_low == 0) + 2 * min(n_sym, 3) + 8 * (n_dig > 0) + 16 * (len(x.encode()) > 30) + 32 * same)
+    shape = mix(np.array(shapes, U) + U(1 << 40)) if shapes else np.zeros(0, U)
+    pair = lambda v: mix(np.array([int(a) * 0xD6E8FEB86659FD93 + int(b) & (1 << 64) - 1 for a, b in zip(v, v[1:], strict=False)], U)) if len(v) > 1 else np.zeros(0, U)
+    counts = {}
+    for x in np.concatenate([np.asarray(h, U), pair(h), shape, pair(shape)]):
+        counts[int(x) >> (64 - bits)] = counts.get(int(x) >> (64 - bits), 0) + 1
+    return counts
+
+
+def test_classifier_features_and_scores_by_hand(spark):
+    rng = random.Random(1)
+    values = [t for t in texts() if t and len(t) < 3000]
+    w = np.random.default_rng(0).normal(size=classifier.BUCKETS + 1)
+    got = {r["doc_id"]: r["score"] for r in classifier.score(frame(spark, values), w).collect()}
+    for i, t in enumerate(values):
+        f = by_hand(t, 18)
+        norm = sum(f.values()) ** 0.5
+        total = w[-1] + (sum(w[b] * n**0.5 for b, n in f.items()) / norm if f else 0)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+    rng.shuffle(values)
+
+
+def test_leader_s_weights_by_hand():
+    """One feature and the bias, two examples: the closed form step by step."""
+    z, n = [0.0, 0.0], [0.0, 0.0]
+    a, b, l1, l2 = classifier.ALPHA, classifier.BETA, classifier.L1, classifier.L2
+    weight = lambda z, n: 0.0 if abs(z) <= l1 else -(z - (l1 if z > 0 else -l1)) / ((b + n**0.5) / a + l2)
+    for _ in range(classifier.PASSES):
+        for value, label in ((1.0, 1), (0.5, 0)):
+            x = [value, 1.0]
+            w = [weight(*s) for s in zip(z, n, strict=True)]
+            p = 1 / (1 + np.exp(-sum(i * j for i, j in zip(w, x, strict=True))))
+            for k in (0, 1):
+                g = (p - label) * x[k]
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / a * w[k]
+                n[k] += g * g
+    got = classifier.train([(np.array([7]), np.array([1.0]), 1), (np.array([7]), np.array([0.5]), 0)])
+    assert got[7] == pytest.approx(weight(z[0], n[0])) and got[-1] == pytest.approx(weight(z[1], n[1]))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>";</script></head><body>
 <header><h2>Site name</h2></header><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>
 <div class="cookie-notice">We use cookies on this page, so please agree to that.</div>%s
@@ -184,6 +290,39 @@ def test_any_markup_is_read(page):
     assert "<article" not in html_text.main_text(page, html_text.grow(html_text.LABELLED))
 
 
+def plain_page(rng):
+    """A page of plain blocks, without article, regions or names: the text, and lists of links and short notes about it."""
+    link = lambda: f'<div><a href="/x">{prose(rng, rng.randrange(1, 4))}</a></div>'
+    body = [" ".join(prose(rng, rng.randrange(30, 90)).split()) for _ in range(rng.randrange(2, 6))]
+    head, foot = [link() for _ in range(rng.randrange(3, 8))], [link() for _ in range(rng.randrange(3, 8))]
+    return "<body>" + "\n".join([*head, *(f"<div>{x}</div>" for x in body), *foot]) + "</body>", "\n\n".join(body)
+
+
+def test_words_and_links_of_neighbours_decide_on_plain_pages():
+    """Without its columns of words and link densities the tree does worse."""
+    rng = random.Random(5)
+    pages = [plain_page(rng) for _ in range(60)]
+
+    def right(tree):
+        return sum(html_text.main_text(page, tree) == text for page, text in pages)
+
+    blind = html_text.grow([(*r[:3], 0, 0.0, 0, 0.0, 0, 0.0, r[-1]) for r in html_text.LABELLED])
+    assert right(html_text.grow(html_text.LABELLED)) >= 55 and right(blind) == 0
+
+
+@pytest.mark.parametrize("piece", ["<div>x", "<aside><article>x", "<div>x</ul>", '<a b="', "<p c='x\"", "</", "<!", "<section class=menu><p>x"])
+def test_broken_markup_takes_time_in_proportion(piece):
+    import time
+
+    html_text.blocks(piece * 1000)
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        html_text.blocks(piece * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * max(took[0], 0.1), took
+
+
 def test_tree_fits_its_table():
     tree = html_text.grow(html_text.LABELLED)
     assert all(html_text.decide(tree, r) == r[-1] for r in html_text.LABELLED)

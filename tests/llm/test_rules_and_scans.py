@@ -78,9 +78,9 @@ def test_scan_against_brute_force(docs, none):
             hits = [i for i in range(len(w) - len(q) + 1) if w[i : i + len(q)] == q]
             at += hits
             labels |= {label} if hits else set()
-        for line in t.split("\n"):
+        for k in range(0, max(1, len(w) - license_scan.BLOCK + license_scan.STEP), license_scan.STEP):
             for label, own in templates:
-                part = len(set(WORD.findall(line)) & own) / len(own)
+                part = len(set(w[k : k + license_scan.BLOCK]) & own) / len(own)
                 if part >= license_scan.CONTAINED - 1e-12:
                     more.add(label)
                     share = max(share, part)
@@ -96,7 +96,7 @@ def test_scan_finds_every_block_at_the_threshold(spark):
     rows = []
     for _, t in license_scan.TEMPLATES:
         w = WORD.findall(t.lower())
-        rows += [" filler ".join(w[:k] + w[k + 1 :]) for k in range(len(w))] + [" ".join(w[: len(w) // 2])]
+        rows += [" filler\n".join(w[:k] + w[k + 1 :]) for k in range(len(w))] + [" ".join(w[: len(w) // 2])]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     templates = [(label, set(WORD.findall(t.lower()))) for label, t in license_scan.TEMPLATES]
     for r in license_scan.scan(df).collect():
@@ -105,6 +105,18 @@ def test_scan_finds_every_block_at_the_threshold(spark):
         assert want <= set(r["labels"].split(",")) | {""} and set(r["labels"].split(",")) - {""} <= want | set(license_scan.PHRASES.values())
 
 
+def test_scan_of_wrapped_notices_null_keys_and_repeated_rows(spark):
+    notice = "word " * 50 + license_scan.TEMPLATES[2][1].replace("any person", "any\nperson").replace("software and", "software\nand") + " word" * 80
+    rows = [(None, "Released under the MIT License"), (None, None), (1, notice), (1, notice), (2, "x")]
+    got = sorted(((r["doc_id"], r["labels"], r["score"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == [(1, "mit", 1.0), (1, "mit", 1.0), (2, "", 0.0), (None, "", 0.0), (None, "mit", 1.0)]
+
+
+def test_rules_of_null_keys_and_repeated_rows(repeated, labels):
+    got = [r["n_words"] for r in quality_rules.apply(repeated, labels).collect()]
+    assert sorted(got) == sorted(base(r["text"])[0] for r in repeated.collect())
+
+
 def shingles(text):
     w = SPACE.findall(text or "")
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
@@ -132,6 +144,28 @@ def test_fingerprints(docs, none, repeated):
     assert fingerprints.fingerprints(repeated).count() == 7
 
 
+def test_sketch_is_the_least_hashes(spark):
+    """Bottom-k by hand, from Spark's hash of every distinct shingle."""
+    text = " ".join(f"w{i % 700}" for i in range(900))
+    h = [r[0] for r in spark.createDataFrame([(i, w) for i, w in enumerate(text.split())], "i int, w string").orderBy("i").select(F.xxhash64("w")).collect()]
+    two = lambda pairs: [r[0] for r in spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a long, b long").orderBy("i").select(F.xxhash64("a", "b")).collect()]
+    a = two(zip(h, h[1:], strict=False))
+    b = two(zip(a, a[2:], strict=False))
+    whole = two(zip(b, h[4:], strict=False))
+    want = sorted({(x & (1 << 64) - 1) >> 16 for x in whole})[: fingerprints.K]
+    assert fingerprints.with_sketch(spark.createDataFrame([(text,)], "text string"), "text", "sketch").first()["sketch"] == want
+
+
+def test_keys_far_apart(spark):
+    """Negative keys, and keys so far apart that each is a block of its own."""
+    keys = [-(1 << 61), -5, 0, 3, 1 << 20, 1 << 40, (1 << 61) + 7]
+    rows = [(k, f"text of {k} " * (3 + i)) for i, k in enumerate(keys)]
+    got = {r["doc_id"]: r["edited_sha256"] for r in fingerprints.fingerprints(spark.createDataFrame(rows[::-1], "doc_id long, text string")).collect()}
+    for i, (k, t) in enumerate(rows):
+        half = len(t) // 2
+        assert got[k] == hashlib.sha256((t[: len(t) - half] + rows[(i + 1) % len(rows)][1][:half]).encode()).hexdigest()
+
+
 def test_sketches_merge(spark):
     a, b = " ".join(f"w{i}" for i in range(900)), " ".join(f"w{i}" for i in range(450, 1400))
     df = fingerprints.with_sketch(spark.createDataFrame([(1, a), (1, b), (2, a), (3, None)], "k int, text string"), "text", "sketch")
