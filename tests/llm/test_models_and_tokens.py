@@ -160,7 +160,7 @@ def test_language_counts_against_a_plain_count(spark):
     names, table = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     want = {x: collections.Counter() for x in names}
     for _, t, lang in rows:
-        code = np.array([32] + [ord(c) if c.isalpha() else 32 for c in t.lower()] + [32], np.uint32)
+        code = np.array([32] * 2 + [ord(c) if c.isalpha() else 32 for c in t.lower()] + [32] * 2, np.uint32)
         for n in language.ORDERS:
             for k in range(len(code) - n + 1):
                 if any(code[k : k + n] != 32):
