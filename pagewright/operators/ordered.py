@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from statistics import median
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from pagewright.operators.pages import by_page
+
 Corners = tuple[int, int, int, int]
+CORNERS = ["x1", "y1", "x2", "y2"]
 SCHEMA = "page long, pos long, x1 long, y1 long, x2 long, y2 long"
 
 
@@ -98,25 +100,16 @@ def rows_by_median(boxes: list[Corners]) -> list[int]:
     return out
 
 
-def _by_page(boxes: DataFrame, kernel: Callable[[list[Corners]], list[tuple]], names: list[str], schema: str) -> DataFrame:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos", kind="stable")
-        out = kernel([tuple(map(int, x)) for x in rows[["x1", "y1", "x2", "y2"]].to_numpy()])
-        return pd.DataFrame([(int(rows["page"].iloc[0]), k, *x) for k, x in enumerate(out)], columns=names)
-
-    return boxes.select("page", "pos", "x1", "y1", "x2", "y2").groupBy("page").applyInPandas(run, schema)
-
-
 def merged_regions(boxes: DataFrame, page_w: int, page_h: int) -> DataFrame:
     """Regions of each page, in order, after those that overlap enough are merged; a sweep tests seeds as they were."""
-    return _by_page(boxes, lambda b: settled(b, same_balloon(page_w, page_h), False), ["page", "pos", "x1", "y1", "x2", "y2"], SCHEMA)
+    return by_page(boxes, CORNERS, lambda b: settled(b, same_balloon(page_w, page_h), False), CORNERS)
 
 
 def merged_phrases(boxes: DataFrame, region_w: int, region_h: int) -> DataFrame:
     """Boxes of each region, in order, after those of one phrase are merged; a sweep tests seeds as they have grown."""
-    return _by_page(boxes, lambda b: settled(b, same_phrase(region_w, region_h), True), ["page", "pos", "x1", "y1", "x2", "y2"], SCHEMA)
+    return by_page(boxes, CORNERS, lambda b: settled(b, same_phrase(region_w, region_h), True), CORNERS)
 
 
 def median_rows(boxes: DataFrame) -> DataFrame:
     """(page, pos, row): rows of boxes, pos counted from 0 in input order."""
-    return _by_page(boxes, lambda b: [(r,) for r in rows_by_median(b)], ["page", "pos", "row"], "page long, pos long, row long")
+    return by_page(boxes, CORNERS, lambda b: [(r,) for r in rows_by_median(b)], ["row"])

@@ -161,6 +161,13 @@ ORACLES = {
   when h / w >= 1.35 then (case when w * h < 26000 then 38 else 50 end) when w * h < 18000 then 44 when w * h < 32000 then 52 else 60 end as int) as max_chars from b""",
     "surface_stats": """select l_orderkey % 500 as page, median(l_partkey % 256) as gray_median, round(quantile_cont(l_partkey % 256, 0.55), 6) as gray_p55,
   round(avg(case when l_partkey % 256 >= 198 and l_suppkey % 128 <= 60 then 1 else 0 end), 9) as paper, count(*) as n from lineitem group by 1""",
+    "median_rows": f"""with recursive boxes as ({BOXES}), o as (select page, row_number() over (partition by page order by pos) - 1 as pos, (y1 + y2) / 2.0 as cy, cast(y2 - y1 as double) as h from boxes),
+  s as (select *, row_number() over (partition by page order by cy, pos) as k from o),
+  r as (select page, pos, k, 0 as island, [cy] as ys, [h] as hs from s where k = 1
+    union all select page, pos, k, case when near then island else island + 1 end, case when near then list_append(ys, cy) else [cy] end, case when near then list_append(hs, h) else [h] end from (
+      select s.page, s.pos, s.k, r.island, r.ys, r.hs, s.cy, s.h, abs(s.cy - list_aggregate(r.ys, 'median')) <= greatest(50, least(135, floor(list_aggregate(list_append(r.hs, s.h), 'median') * 0.75))) as near
+      from r join s on s.page = r.page and s.k = r.k + 1))
+  select page, pos, cast(island as bigint) as row from r""",
     "page_coverage": """with u as (select conv_id as page, case when turn % 4 = 3 then '' else text end as text, turn % 5 <> 1 as renderable, length(text) % 3 <> 0 as drawn from conversations),
   f as (select *, length(trim(text)) > 0 as filled from u)
   select page, count(*) as detected, count(*) filter (where filled) as ocr, count(*) filter (where filled and renderable and drawn) as rendered, count(*) filter (where not filled) as ocr_empty,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import text as t
 from pagewright.operators import regions as r
 from pagewright.operators import replies as a
+from pagewright.plans import wording_sql
 from pagewright.plans.tables import TEXTS, replies, texts
 
 WITH = f"with u as ({TEXTS})"
@@ -92,14 +93,23 @@ def repair_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.translated(u, stub).select("page", "idx", "target")
 
 
-QUERIES = {f.__name__: f for f in (script_profile, unit_style, ocr_noise, ocr_best, sanitize_text, postprocess_text, needs_repair, constraint_tag, compress_dialogue, prompt_batches, parse_responses, repair_cascade)}
+def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What decides whether a reply is drawn, asked for again, or cut."""
+    u, target = texts(spark, sf_dir), F.col("target")
+    return u.select(
+        "page", "idx", t.renderable(F.col("source"), target).alias("renderable"), t.romaji_noise(target).alias("noise"), t.violates(target, F.col("idx") % 7 + 3, F.col("idx") * 20 + 15).alias("over"),
+        t.punctuation_only(target).alias("points_only"), t.ellipsis_like(target).alias("dots"), t.logged(target).alias("logged"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (script_profile, unit_style, ocr_noise, ocr_best, sanitize_text, postprocess_text, needs_repair, constraint_tag, compress_dialogue, prompt_batches, parse_responses, repair_cascade, text_rules)}
 
 
 def counted(text: str, pattern: str) -> str:
     return f"len(regexp_extract_all({text}, '{pattern}'))"
 
 
-ORACLES = {
+ORACLES = wording_sql.ORACLES | {
     "script_profile": f"{WITH}, c as (select page, idx, {counted('source', '[぀-ヿ]')} as kana, {counted('source', '[一-鿿]')} as kanji, len(regexp_extract_all(regexp_replace(source, '[぀-ヿ一-鿿]', '', 'g'), '[\\p{{L}}\\p{{N}}]')) as other from u) select page, idx, cast(kana as int) as kana, cast(kanji as int) as kanji, cast(kana + kanji + other as int) as script from c",
     "constraint_tag": f"""{WITH}, c as (select page, idx, case when idx % 2 = 0 then 'sfx' when idx % 3 = 0 then 'dialogue' end as style, idx % 4 as words, case when idx % 5 > 0 then idx end as chars from u),
   p as (select page, idx, concat_ws(', ', 'style=' || style, case when words > 0 then 'max_words=' || words end, case when chars > 0 then 'max_chars=' || chars end) as parts from c)
