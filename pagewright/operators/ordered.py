@@ -54,8 +54,8 @@ def settled(boxes: list[Corners], joins: Callable[[Corners, Corners], bool], gro
         boxes = out
 
 
-def same_balloon(page_w: int, page_h: int) -> Callable[[Corners, Corners], bool]:
-    """Whether two regions overlap enough to be one, without covering too much of the page."""
+def same_balloon(page_w: int, page_h: int, also: Callable[[Corners, Corners], bool] | None = None) -> Callable[[Corners, Corners], bool]:
+    """Whether two regions overlap enough to be one, or `also` says so, without covering too much of the page."""
     page = max(1, page_w * page_h)
 
     def holds(a: Corners, b: Corners) -> bool:
@@ -66,7 +66,7 @@ def same_balloon(page_w: int, page_h: int) -> Callable[[Corners, Corners], bool]
         both = shared(a, b)
         iou, part = both / max(1, area(a) + area(b) - both), both / max(1, min(area(a), area(b)))
         most = int(page * (0.72 if iou >= 0.35 or part >= 0.65 else 0.38))
-        return area(hull(a, b)) <= most and (iou > 0.2 or (holds(a, b) or holds(b, a)) and (iou >= 0.12 or part >= 0.55))
+        return area(hull(a, b)) <= most and (iou > 0.2 or (holds(a, b) or holds(b, a)) and (iou >= 0.12 or part >= 0.55) or also is not None and also(a, b))
 
     return joins
 
@@ -85,14 +85,14 @@ def same_phrase(region_w: int, region_h: int) -> Callable[[Corners, Corners], bo
     return joins
 
 
-def rows_by_median(boxes: list[Corners]) -> list[int]:
+def rows_by_median(boxes: list[Corners], least: int = 50, most: int = 135, share: float = 0.75) -> list[int]:
     """The row of each box: downwards, a box joins the row if its centre is near the median of the row's centres."""
     out, row = [0] * len(boxes), -1
     centres: list[float] = []
     heights: list[int] = []
     for k in sorted(range(len(boxes)), key=lambda k: (boxes[k][1] + boxes[k][3]) / 2):
         y, h = (boxes[k][1] + boxes[k][3]) / 2, boxes[k][3] - boxes[k][1]
-        if not centres or abs(y - median(centres)) > max(50, min(135, int(median([*heights, h]) * 0.75))):
+        if not centres or abs(y - median(centres)) > max(least, min(most, int(median([*heights, h]) * share))):
             row, centres, heights = row + 1, [], []
         centres.append(y)
         heights.append(h)
@@ -100,9 +100,9 @@ def rows_by_median(boxes: list[Corners]) -> list[int]:
     return out
 
 
-def merged_regions(boxes: DataFrame, page_w: int, page_h: int) -> DataFrame:
-    """Regions of each page, in order, after those that overlap enough are merged; a sweep tests seeds as they were."""
-    return by_page(boxes, CORNERS, lambda b: settled(b, same_balloon(page_w, page_h), False), CORNERS)
+def merged_regions(boxes: DataFrame, page_w: int, page_h: int, also: Callable[[Corners, Corners], bool] | None = None) -> DataFrame:
+    """Regions of each page, in order, after those that overlap enough, or of which `also` says so, are merged; a sweep tests seeds as they were."""
+    return by_page(boxes, CORNERS, lambda b: settled(b, same_balloon(page_w, page_h, also), False), CORNERS)
 
 
 def merged_phrases(boxes: DataFrame, region_w: int, region_h: int) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as g
-from pagewright.operators import lettering, ordered
+from pagewright.operators import lettering, ordered, splitting
 from pagewright.operators import regions as r
 from pagewright.plans.tables import BOXES, PAGE_HEIGHT, PAGE_WIDTH, boxes
 
@@ -103,6 +103,34 @@ def median_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.median_rows(boxes(spark, sf_dir))
 
 
+def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of fewer pages, so that a page has as many as a region of many balloons."""
+    b = boxes(spark, sf_dir)
+    order = Window.partitionBy("page").orderBy("own", "pos")
+    return b.withColumns({"own": F.col("page"), "page": F.floor(F.col("page") / 4)}).withColumn("pos", F.row_number().over(order)).drop("own")
+
+
+def split_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_regions(paged(spark, sf_dir), PAGE_WIDTH, PAGE_HEIGHT)
+
+
+def separated_balloons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.separated(paged(spark, sf_dir), PAGE_WIDTH, PAGE_HEIGHT)
+
+
+def regrouped_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = paged(spark, sf_dir)
+    return splitting.regrouped(r.closure(b, 3 * GAP), b, PAGE_WIDTH, PAGE_HEIGHT)
+
+
+def phrase_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.joined_rows(paged(spark, sf_dir), 600, 600)
+
+
+def surface_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.joined_surfaces(paged(spark, sf_dir).withColumn("label", F.col("pos") % 3))
+
+
 def fitted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     # A box grows with its text: as much space for each word as one of 40 to 190 by 60 to 260 has for nine.
@@ -112,7 +140,7 @@ def fitted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lettering.fit(units).select("page", "idx", "size", F.size("lines").alias("n_lines"), "skip_reason")
 
 
-QUERIES = {f.__name__: f for f in (region_viability, reading_order_page, reading_order_local, box_near_pairs, iou_pairs, containment_pairs, box_closure, centroid_clusters, row_islands_fixed_gap, column_histogram_valleys, dominant_label, input_dedupe, translation_budget, surface_stats, page_coverage, merged_regions, merged_phrases, median_rows, fitted_text)}
+QUERIES = {f.__name__: f for f in (region_viability, reading_order_page, reading_order_local, box_near_pairs, iou_pairs, containment_pairs, box_closure, centroid_clusters, row_islands_fixed_gap, column_histogram_valleys, dominant_label, input_dedupe, translation_budget, surface_stats, page_coverage, merged_regions, merged_phrases, median_rows, split_regions, separated_balloons, regrouped_boxes, phrase_rows, surface_phrases, fitted_text)}
 
 
 def order_sql(columns: int) -> str:
