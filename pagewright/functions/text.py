@@ -209,3 +209,35 @@ def logged(text: Column) -> Column:
     """A text for a log: one line, 400 characters at most."""
     clean = squeezed(text)
     return F.when(F.length(clean) > 400, F.concat(F.left(clean, F.lit(397)), F.lit("..."))).otherwise(clean)
+
+
+def short_sound(text: Column) -> Column:
+    """Whether a sound is short enough to be drawn as lettering: three words at most, 2 to 18 letters, one word doubled or short."""
+    words = F.regexp_extract_all(text, F.lit("[A-Za-z]+"), 0)
+    letters = F.array_join(words, "")
+    return F.size(words).between(1, 3) & F.length(letters).between(2, 18) & ((F.size(words) > 1) | letters.rlike("([A-Za-z])\\1") | (F.length(letters) <= 5))
+
+
+def large_mismatch(source: Column, text: Column, area: Column, balloon: Column) -> Column:
+    """Whether a large block that stands in no balloon would be replaced by a text too small for it."""
+    clean, src = squeezed(text), F.regexp_replace(source, "(?U)\\s+", "")
+    words = F.regexp_extract_all(clean, F.lit("[A-Za-z0-9']+"), 0)
+    letters = F.length(F.array_join(words, ""))
+    p = script_profile(src)
+    block = (p["kanji"] >= 2) | (F.length(src) >= 14)
+    tiny = (F.size(words) <= 2) & (letters <= 14) & ~clean.rlike("[.?!]")
+    small = block & ((area >= 70_000) | tiny) | (p["kanji"] == 0) & (p["kana"] >= 10) & (letters <= 8)
+    return F.when(F.length(clean) == 0, True).otherwise((area >= 42_000) & ~balloon & (F.length(src) >= 8) & (p["script"] >= 8) & small)
+
+
+def short_noise(source: Column, text: Column, area: Column, context: Column, balloon: Column) -> Column:
+    """Whether a short reply to a short source, in no balloon, is noise of a large sound or of art."""
+    src = F.regexp_replace(source, "(?U)\\s+", "")
+    p, n = script_profile(src), F.length(F.trim(text))
+    words = F.size(F.regexp_extract_all(text, F.lit("[A-Za-z']+"), 0))
+    no_kanji = p["kanji"] == 0
+    few = no_kanji & (words <= 3) & ((p["script"] <= 4) & (n <= 20) & ~src.rlike("[。！？?!]") | (n <= 18) & (area >= 30_000))
+    short = (p["script"] <= 4) | no_kanji & ((p["kana"] <= 4) | (p["script"] <= 8))
+    large = (area >= 12_000) | (context >= 35_000) & (area >= 5_000)
+    last = short & ((n <= 16) | (words <= 3)) & large & ((n <= 10) | (words <= 2))
+    return F.when((F.length(src) == 0) | (words == 0), True).when(balloon, False).otherwise(few | last)

@@ -9,6 +9,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.session import saved
+
+
+def attempted(pages: DataFrame, work: Callable[[dict], bytes], tries: int = 1) -> DataFrame:
+    """(page, result, error): what work makes of each page's row, or why it failed; one page's failure leaves the others alone."""
+    names = pages.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                result, error = None, "not tried"
+                for _ in range(tries):
+                    try:
+                        result, error = work({c: row[c] for c in names}), None
+                        break
+                    except Exception as e:  # noqa: BLE001
+                        error = f"{type(e).__name__}: {e}"
+                yield pa.RecordBatch.from_arrays([pa.array([row["page"]], pa.int64()), pa.array([result], pa.binary()), pa.array([error], pa.string())], ["page", "result", "error"])
+
+    return saved(pages.withColumn("page", F.col("page").cast("long")).mapInArrow(run, "page long, result binary, error string"))
+
+
+def run_summary(results: DataFrame) -> DataFrame:
+    """One row: pages in all, done, failed, and an error message if none was done."""
+    failed = F.count_if(F.col("error").isNotNull())
+    return results.agg(F.count("*").alias("total"), (F.count("*") - failed).alias("succeeded"), failed.alias("failed"), F.when((F.count("*") == failed) & (failed > 0), F.min("error")).alias("error_message"))
+
 
 def by_page(rows: DataFrame, columns: list[str], kernel: Callable[[list[tuple]], list[tuple]], names: list[str]) -> DataFrame:
     """(page, pos, *names), all long: what a kernel makes of the whole-number columns of each page, in the order of `pos`.

@@ -8,7 +8,8 @@ that others have read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +21,8 @@ from pagewright.session import saved
 
 #: Texts of a prompt, and tries of a call.
 BATCH, TRIES = 10, 3
+#: Seconds to wait after the first failure, and after each further one.
+WAITS = (1.0, 2.0)
 MARKER = r"^\s*(?:\[(\d+)\]|(\d+)[.)])\s*[:.)-]?\s*(.*)$"
 
 
@@ -74,18 +77,38 @@ def parsed(reply: Column, expected: Column) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: F.length(e["value"]) > 0))
 
 
-def asked(rows: DataFrame, client: Callable[[list[str]], list[str | None]], tries: int = TRIES) -> DataFrame:
-    """rows with `reply`, null where every try failed; rows have `prompt`."""
+def message_text(content: Column) -> Column:
+    """The text of a message's content, as JSON: a string as it is, of a list each string or the first text of each block, '' for all else."""
+    whole = F.try_parse_json(content)
+
+    def string(v: Column, path: str) -> Column:
+        # A number or flag is no text.
+        found = F.trim(F.try_variant_get(v, path, "string"))
+        return F.when((F.schema_of_variant(F.coalesce(F.try_variant_get(v, path, "variant"), F.parse_json(F.lit("0")))) == "STRING") & (F.length(found) > 0), found)
+
+    blocks = F.transform(F.try_variant_get(whole, "$", "array<variant>"), lambda v: F.coalesce(string(v, "$"), string(v, "$.text"), string(v, "$.output_text"), string(v, "$.content")))
+    plain = F.when(F.schema_of_variant(whole) == "STRING", F.try_variant_get(whole, "$", "string"))
+    return F.coalesce(plain, F.array_join(F.filter(blocks, lambda x: x.isNotNull()), "\n"), F.lit(""))
+
+
+def asked(rows: DataFrame, client: Callable[[list[str]], list[str | None]], tries: int = TRIES, waits: Sequence[float] = WAITS, slots: int | None = None) -> DataFrame:
+    """rows with `reply`, null where every try failed; rows have `prompt`.
+
+    Between tries a task waits; at most `slots` tasks call at once, if that is given.
+    """
+    rows = rows.coalesce(slots) if slots else rows
     at = rows.columns.index("prompt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(at).to_pylist()
             replies: list[str | None] = [None] * len(texts)
-            for _ in range(tries):
+            for k in range(tries):
                 left = [i for i, r in enumerate(replies) if r is None]
                 if not left:
                     break
+                if k and waits:
+                    time.sleep(waits[min(k, len(waits)) - 1])
                 for i, r in zip(left, client([texts[i] for i in left]), strict=True):
                     replies[i] = r
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(replies, pa.string())], [*b.schema.names, "reply"])

@@ -102,7 +102,15 @@ def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (script_profile, unit_style, ocr_noise, ocr_best, sanitize_text, postprocess_text, needs_repair, constraint_tag, compress_dialogue, prompt_batches, parse_responses, repair_cascade, text_rules)}
+def render_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which replies are too small for their block, or noise, in boxes of several sizes on paper and on art."""
+    u = texts(spark, sf_dir).withColumns({"area": (F.col("page") * 977 + F.col("idx") * 7919) % 90_000, "context": (F.col("page") * 331) % 60_000, "balloon": (F.col("page") + F.col("idx")) % 3 == 0})
+    u = u.withColumns({"target": F.when(F.col("idx") % 3 == 0, F.left("target", F.lit(12))).otherwise(F.col("target")), "source": F.when(F.col("idx") % 2 == 0, F.left("source", F.lit(9))).otherwise(F.col("source"))})
+    source, target = F.col("source"), F.col("target")
+    return u.select("page", "idx", t.short_sound(target).alias("sound"), t.large_mismatch(source, target, F.col("area"), F.col("balloon")).alias("mismatch"), t.short_noise(source, target, F.col("area"), F.col("context"), F.col("balloon")).alias("noise"))
+
+
+QUERIES = {f.__name__: f for f in (script_profile, unit_style, ocr_noise, ocr_best, sanitize_text, postprocess_text, needs_repair, constraint_tag, compress_dialogue, prompt_batches, parse_responses, repair_cascade, text_rules, render_rules)}
 
 
 def counted(text: str, pattern: str) -> str:

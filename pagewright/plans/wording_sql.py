@@ -121,4 +121,17 @@ ORACLES = {
   clean <> '' and ({counted("clean", "[A-Za-z0-9']+")} > words or length(clean) > chars) as over,
   trim(target) = '' or (not {found("target", r"[\p{L}\p{N}]")} and not {found(gone("target", r"\s+"), "^[.…·･・]+$")}) as points_only, {found(gone("target", r"\s+"), "^[.…·･・]+$")} as dots,
   case when length(clean) > 400 then left(clean, 397) || '...' else clean end as logged from c""",
+    "render_rules": rf"""{WITH}, v as (select page, idx, case when idx % 3 = 0 then left(target, 12) else target end as target, case when idx % 2 = 0 then left(source, 9) else source end as source,
+    (page * 977 + idx * 7919) % 90000 as area, (page * 331) % 60000 as context, (page + idx) % 3 = 0 as balloon from u),
+  c as (select *, {gone("source", r"\s+")} as t, {squeezed("target")} as clean, regexp_extract_all(target, '[A-Za-z]+') as ws, length(trim(target)) as n from v),
+  d as (select *, {N_KANA} as kana, {N_KANJI} as kanji, {N_KANA} + {N_KANJI} + {counted(gone("t", f"[{KANA}{KANJI}]"), r"[\p{L}\p{N}]")} as script, array_to_string(ws, '') as letters,
+    regexp_extract_all(clean, '[A-Za-z0-9'']+') as own_words, {counted("target", "[A-Za-z']+")} as words from c),
+  e as (select *, length(array_to_string(own_words, '')) as m, kanji >= 2 or length(t) >= 14 as block, len(list_filter(range(1, length(letters)), lambda i: letters[i] = letters[i + 1])) > 0 as doubled from d)
+  select page, idx, len(ws) between 1 and 3 and length(letters) between 2 and 18 and (len(ws) > 1 or doubled or length(letters) <= 5) as sound,
+  case when clean = '' then true when area < 42000 or balloon or length(t) < 8 or script < 8 then false when block and area >= 70000 then true
+    when block and len(own_words) <= 2 and m <= 14 and not {found("clean", "[.?!]")} then true else kanji = 0 and kana >= 10 and m <= 8 end as mismatch,
+  case when t = '' or words = 0 then true when balloon then false when kanji = 0 and words <= 3 and script <= 4 and n <= 20 and not {found("t", "[。！？?!]")} then true
+    when kanji = 0 and words <= 3 and n <= 18 and area >= 30000 then true
+    when not (script <= 4 or (kana <= 4 and kanji = 0) or (script <= 8 and kanji = 0)) or (n > 16 and words > 3) or not (area >= 12000 or (context >= 35000 and area >= 5000)) then false
+    else n <= 10 or words <= 2 end as noise from e""",
 }

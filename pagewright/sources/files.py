@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagewright.session import saved
+
 # File name endings of page images, compared in lower case.
 SUFFIXES = ("jpg", "jpeg", "png", "webp", "bmp", "tiff")
 
@@ -19,11 +21,19 @@ def images(files: DataFrame) -> DataFrame:
     return files.where(F.lower(F.regexp_extract("path", "\\.([^./]+)$", 1)).isin(*SUFFIXES))
 
 
+def numbered(rows: DataFrame, by: str, name: str = "pos") -> DataFrame:
+    """rows with a number from 1 in the order of a column: ranges of it are ordered by a task each, and one task adds up their sizes."""
+    rows = saved(rows.repartitionByRange(by).withColumn("__part", F.spark_partition_id()))
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("n"), F.min(by).alias("first"))
+    before = sizes.select("__part", (F.sum("n").over(Window.orderBy("first")) - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(by))
+    return rows.withColumn("own", own).join(F.broadcast(before), "__part").withColumn(name, F.col("own") + F.col("before")).drop("__part", "own", "before")
+
+
 def folder(spark: SparkSession, path: str) -> DataFrame:
     """Page images directly in a folder: page_id, pos by path, path, length, content."""
     found = images(spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path))
-    # Only paths are ordered here, never contents.
-    names = found.select("path").withColumn("pos", F.row_number().over(Window.orderBy("path")))
+    names = numbered(found.select("path"), "path")
     return found.join(names, "path").select(F.regexp_extract("path", "([^/]+)$", 1).alias("page_id"), "pos", "path", "length", "content")
 
 
@@ -37,6 +47,19 @@ def exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
+def removed(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Remove a folder and all in it; the files found there before and left there after."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def count() -> int:
+        return system.getContentSummary(where).getFileCount() if system.exists(where) else 0
+
+    before = count()
+    system.delete(where, True)
+    return before, count()
+
+
 def distinct_inputs(files: DataFrame) -> DataFrame:
     """The first row of each path, in the order given; files have pos and path."""
     return files.withColumn("__r", F.row_number().over(Window.partitionBy("path").orderBy("pos"))).where("__r = 1").drop("__r")
