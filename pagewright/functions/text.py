@@ -241,3 +241,27 @@ def short_noise(source: Column, text: Column, area: Column, context: Column, bal
     large = (area >= 12_000) | (context >= 35_000) & (area >= 5_000)
     last = short & ((n <= 16) | (words <= 3)) & large & ((n <= 10) | (words <= 2))
     return F.when((F.length(src) == 0) | (words == 0), True).when(balloon, False).otherwise(few | last)
+
+
+def tightened(text: Column, w: Column, h: Column) -> Column:
+    """Dialogue outside a balloon, cut to four words or a sentence if the box is small and it has more than six."""
+    clean = squeezed(text)
+    return F.when((w * h < 3000) & (F.size(F.split(clean, " ")) > 6), compressed(clean, F.lit(4))).otherwise(clean)
+
+
+def skipped(text: Column, w: Column, h: Column) -> Column:
+    """Whether a text is not drawn: nothing but points, or a box too small to be read; an ellipsis always is."""
+    clean = squeezed(text)
+    return F.when((F.length(clean) == 0) | punctuation_only(clean), True).when(ellipsis_like(clean), False).otherwise(F.greatest(F.lit(1), w * h) < 400)
+
+
+def drawn_as_sound(text: Column, w: Column, h: Column) -> Column:
+    """Whether a text in no balloon is drawn as a sound: two words at most, no end of a sentence, no tall box."""
+    clean = squeezed(text)
+    words = F.when(F.length(clean) == 0, 0).otherwise(F.size(F.split(clean, " ")))
+    return (words <= 2) & ~clean.rlike("[.?!]") & (h <= w * 1.5)
+
+
+def low_signal(text: Column) -> Column:
+    """Whether a text has no word at all."""
+    return ~text.rlike("[A-Za-z']")

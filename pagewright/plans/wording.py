@@ -110,7 +110,16 @@ def render_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("page", "idx", t.short_sound(target).alias("sound"), t.large_mismatch(source, target, F.col("area"), F.col("balloon")).alias("mismatch"), t.short_noise(source, target, F.col("area"), F.col("context"), F.col("balloon")).alias("noise"))
 
 
-QUERIES = {f.__name__: f for f in (script_profile, unit_style, ocr_noise, ocr_best, sanitize_text, postprocess_text, needs_repair, constraint_tag, compress_dialogue, prompt_batches, parse_responses, repair_cascade, text_rules, render_rules)}
+def drawing_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How replies are drawn in boxes of several sizes, sounds, points and blanks among them."""
+    u = texts(spark, sf_dir).withColumns({"w": F.col("page") * 13 % 90 + 5, "h": F.col("idx") * 29 % 120 + 5})
+    target = F.when(F.col("idx") % 4 == 0, F.left("target", F.lit(11))).when(F.col("idx") % 4 == 1, F.regexp_replace("target", "[A-Za-z ]+", "")).otherwise(F.col("target"))
+    u = u.withColumn("target", target)
+    x, w, h = F.col("target"), F.col("w"), F.col("h")
+    return u.select("page", "idx", t.tightened(x, w, h).alias("tight"), t.skipped(x, w, h).alias("skipped"), t.drawn_as_sound(x, w, h).alias("sound"), t.low_signal(x).alias("empty"))
+
+
+QUERIES = {f.__name__: f for f in (script_profile, unit_style, ocr_noise, ocr_best, sanitize_text, postprocess_text, needs_repair, constraint_tag, compress_dialogue, prompt_batches, parse_responses, repair_cascade, text_rules, render_rules, drawing_rules)}
 
 
 def counted(text: str, pattern: str) -> str:

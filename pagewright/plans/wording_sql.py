@@ -134,4 +134,11 @@ ORACLES = {
     when kanji = 0 and words <= 3 and n <= 18 and area >= 30000 then true
     when not (script <= 4 or (kana <= 4 and kanji = 0) or (script <= 8 and kanji = 0)) or (n > 16 and words > 3) or not (area >= 12000 or (context >= 35000 and area >= 5000)) then false
     else n <= 10 or words <= 2 end as noise from e""",
+    "drawing_rules": rf"""{WITH}, v as (select page, idx, page * 13 % 90 + 5 as w, idx * 29 % 120 + 5 as h,
+    case when idx % 4 = 0 then left(target, 11) when idx % 4 = 1 then {gone("target", "[A-Za-z ]+")} else target end as target from u),
+  c as (select *, {squeezed("target")} as s, {found(gone("target", r"\s+"), "^[.…·･・]+$")} as dots from v),
+  d as (select *, string_split(s, ' ') as p from c), e as (select *, list_filter(range(4, len(p) + 1), lambda i: {found("p[i]", "[.!?]$")})[1] as stop from d)
+  select page, idx, case when w * h >= 3000 or len(p) <= 6 then s when stop is not null then array_to_string(p[1:stop], ' ') else rtrim(array_to_string(p[1:4], ' '), '.,;:!?') || '...' end as tight,
+  case when s = '' then true when dots then false when not {found("s", r"[\p{L}\p{N}]")} then true else w * h < 400 end as skipped,
+  (s = '' or len(p) <= 2) and not {found("s", "[.?!]")} and h <= w * 1.5 as sound, not {found("target", "[A-Za-z']")} as empty from e""",
 }
