@@ -106,3 +106,15 @@ def budget(style: Column, w: Column, h: Column) -> Column:
     for test, a, b in table:
         words, chars = words.when(test, a), chars.when(test, b)
     return F.struct(words.otherwise(14).cast("int").alias("max_words"), chars.otherwise(60).cast("int").alias("max_chars"))
+
+
+def context(a: Box, page_w: int, page_h: int) -> Box:
+    """A single dialogue's box with room around it for its balloon: more for narrow boxes, less for wide and for large ones."""
+    w, h = width(a), height(a)
+    share = lambda x, part: F.floor(x * part)
+    x = F.least(F.lit(140), F.greatest(F.lit(28), share(w, 1.15), share(h, 0.32)))
+    y = F.least(F.lit(110), F.greatest(F.lit(20), share(h, 0.34), share(w, 0.22)))
+    large = w * h >= 70_000
+    x = F.when(w >= 280, F.least(x, F.greatest(F.lit(24), share(w, 0.18)))).otherwise(x)
+    x, y = F.when(large, F.least(x, F.lit(72))).otherwise(x), F.when(large, F.least(y, F.lit(64))).otherwise(y)
+    return Box(F.greatest(F.lit(0), a.x1 - x), F.greatest(F.lit(0), a.y1 - y), F.least(F.lit(page_w), a.x2 + x), F.least(F.lit(page_h), a.y2 + y))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 
 from pagewright.operators.ordered import Corners, hull
 
+#: Distance below which the centres of two marks make them one cluster.
+CENTRES = 180.0
+
 
 def odd(n: int) -> int:
     return n + 1 - n % 2
@@ -116,15 +119,121 @@ def joined(boxes: list[Corners], gap: int) -> list[Corners]:
     return out
 
 
+def padded(box: Corners, at: Corners, pad: int, w: int, h: int) -> Corners:
+    """A box within a part of a page, in the page's coordinates and grown, not beyond the page."""
+    return max(0, at[0] + box[0] - pad), max(0, at[1] + box[1] - pad), min(w, at[0] + box[2] + pad), min(h, at[1] + box[3] + pad)
+
+
+def centre_clusters(mask: np.ndarray, box: Corners, least_area: int, pad: int, distance: float = CENTRES) -> list[Corners]:
+    """Boxes of the marks of a region whose centres are near each other, directly or through others; none if all are."""
+    part = mask[box[1] : box[3], box[0] : box[2]]
+    found = [c for c in components(part) if c[1] >= max(60, least_area // 3) and min(c[0][2] - c[0][0], c[0][3] - c[0][1]) >= 8]
+    groups: list[list[tuple]] = []
+    for c in found:
+        met = [g for g in groups if any((c[2] - x) ** 2 + (c[3] - y) ** 2 < distance * distance for _, _, x, y in g)]
+        groups = [g for g in groups if g not in met] + [[c, *(x for g in met for x in g)]]
+    if len(groups) < 2:
+        return []
+    out = []
+    for g in groups:
+        whole = g[0][0]
+        for c in g[1:]:
+            whole = hull(whole, c[0])
+        out.append(padded(whole, box, pad, mask.shape[1], mask.shape[0]))
+    return sorted(out, key=lambda b: (b[1], b[0]))
+
+
+def parts(mask: np.ndarray, box: Corners, least_area: int, pad: int, oversized: bool) -> list[Corners]:
+    """The boxes of a large region's separate blocks, found with little closing; none if it is one.
+
+    An oversized region gives all its blocks; another only if no block has most of the pixels.
+    """
+    part = mask[box[1] : box[3], box[0] : box[2]]
+    w, h = box[2] - box[0], box[3] - box[1]
+    short, large = max(1, min(w, h)), w * h > 50_000
+    if not part.any():
+        return []
+    if large and len(found := centre_clusters(mask, box, least_area, pad)) >= 2:
+        return found
+    shares = (0.004, 0.006) if oversized else (0.002, 0.003)
+    close, grow = (3, 3) if oversized and large else (odd(max(3, int(round(short * x)))) for x in shares)
+    blocks = [c for c in components(dilated(closed(part, close), grow, True)) if c[1] >= max(80 if oversized else 60, least_area // 3) and min(c[0][2] - c[0][0], c[0][3] - c[0][1]) >= 8]
+    gap = (max(3, int(short * 0.015)) if large else max(4, int(short * 0.03))) if oversized else max(4, int(short * 0.02))
+    out = joined([padded(c[0], box, pad, mask.shape[1], mask.shape[0]) for c in blocks], gap)
+    if oversized:
+        return out
+    sizes = [c[1] for c in blocks]
+    return out if len(out) >= 2 and max(sizes) / sum(sizes) <= 0.82 else []
+
+
+def viable(mask: np.ndarray, box: Corners) -> bool:
+    """Whether a region has some size and some marks."""
+    return min(box[2] - box[0], box[3] - box[1]) >= 8 and int(mask[box[1] : box[3], box[0] : box[2]].sum()) >= 10
+
+
 def regions(mask: np.ndarray, least_area: int = 30, pad: int = 5) -> list[Corners]:
-    """Boxes of text blocks: marks are closed into blocks, small ones go, near ones are joined, the rest is padded."""
+    """Boxes of text blocks: marks are closed into blocks, small ones go, near ones are joined, large ones are taken apart, the rest is padded."""
     h, w = mask.shape
     short = min(h, w)
     wide = odd(max(25, int(round(short * 0.025))))
     blocks = closed(dilated(closed(mask, wide, times=2), wide, True), odd(max(19, int(round(short * 0.018)))), True)
     found = [b for b, area, _, _ in components(blocks) if area >= least_area and b[2] - b[0] >= 8 and b[3] - b[1] >= 8]
-    out = [(max(0, a - pad), max(0, b - pad), min(w, c + pad), min(h, d + pad)) for a, b, c, d in joined(found, max(30, int(short * 0.025)))]
-    return [b for b in out if b[2] - b[0] >= 8 and b[3] - b[1] >= 8 and mask[b[1] : b[3], b[0] : b[2]].sum() >= 10]
+    out: list[Corners] = []
+    for b in joined(found, max(30, int(short * 0.025))):
+        bw, bh = b[2] - b[0], b[3] - b[1]
+        apart = parts(mask, b, least_area, max(2, pad // 2), False) if bw * bh > 80_000 else []
+        if len(apart) < 2 and (bw * bh > int(w * h * 0.06) or bw > int(w * 0.35) or bh > int(h * 0.35)):
+            apart = parts(mask, b, least_area, max(2, pad // 2), True)
+        out += apart if len(apart) >= 2 else [padded(b, (0, 0, w, h), pad, w, h)]
+    return [b for b in out if viable(mask, b)]
+
+
+def resized(image: np.ndarray, w: int, h: int) -> np.ndarray:
+    """An array of height x width by linear interpolation between pixel centres."""
+    image = image.astype(float)
+    for axis, size in ((0, h), (1, w)):
+        n = image.shape[axis]
+        at = np.clip((np.arange(size) + 0.5) * n / size - 0.5, 0, n - 1)
+        low = np.floor(at).astype(int)
+        part = (at - low).reshape([-1 if k == axis else 1 for k in range(image.ndim)])
+        image = image.take(low, axis) * (1 - part) + image.take(np.minimum(low + 1, n - 1), axis) * part
+    return image
+
+
+def model_input(image: np.ndarray, size: int = 1024) -> np.ndarray:
+    """An image, blue first, as a detector takes it: 1 x 3 x size x size, red first, 0 to 1."""
+    return (resized(image[..., 2::-1], size, size) / 255).astype(np.float32).transpose(2, 0, 1)[None]
+
+
+def text_mask(outputs: list[np.ndarray], w: int, h: int, least: float) -> np.ndarray:
+    """The mask of a page from a detector's outputs: the first that is as large as an image, else the largest; none at all gives no text."""
+    planes = [np.squeeze(np.asarray(o)) for o in outputs]
+    planes = [p for p in planes if p.ndim >= 2]
+    large = next((p for p in planes if min(p.shape[-2:]) >= 256), None)
+    if large is not None:
+        chosen = large if large.ndim == 2 else large[0 if large.shape[0] <= 4 else -1]
+    elif planes:
+        chosen = max(planes, key=lambda p: p.shape[-1] * p.shape[-2])
+        chosen = chosen if chosen.ndim == 2 else chosen[0]
+    else:
+        return np.zeros((h, w), bool)
+    return resized(chosen / max(1.0, float(chosen.max())), w, h) > least
+
+
+def detected(pages: DataFrame, detector: Callable[[np.ndarray], list[np.ndarray]], least: float = 0.3) -> DataFrame:
+    """(page, height, width, mask) of pages (page, height, width, pixels: three bytes a pixel, blue first); detector is a model's function."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for page, h, w, pixels in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                whole = np.frombuffer(pixels or b"", np.uint8)
+                if h and w and len(whole) == 3 * h * w:
+                    out.append((page, h, w, text_mask(detector(model_input(whole.reshape(h, w, 3))), w, h, least).astype(np.uint8).tobytes()))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["page", "height", "width", "mask"])
+
+    return pages.select("page", "height", "width", "pixels").mapInArrow(run, "page long, height int, width int, mask binary")
 
 
 def _boxes(masks: DataFrame, kernel, schema: str) -> DataFrame:

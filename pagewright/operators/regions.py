@@ -191,3 +191,17 @@ def coverage(units: DataFrame) -> DataFrame:
         F.count_if(some & F.col("renderable") & ~F.col("drawn")).alias("render_failed"),
         F.count_if(some & ~F.col("renderable")).alias("filtered"),
     )
+
+
+def render_contexts(units: DataFrame, parents: DataFrame, page_w: int, page_h: int) -> DataFrame:
+    """units (page, pos, parent, style, corners) with c_x1 to c_y2: the box in which to look for a unit's balloon.
+
+    A unit alone in its parent (page, pos) has the parent's box, and room around it, if it is dialogue; units that share a parent, or have none, keep
+    their own.
+    """
+    alone = units.groupBy("page", "parent").agg(F.count("*").alias("n")).where("n = 1").select("page", "parent")
+    held = parents.select("page", F.col("pos").alias("parent"), *(F.col(c).alias(f"p_{c}") for c in CORNERS)).join(alone, ["page", "parent"])
+    rows = units.join(held, ["page", "parent"], "left")
+    wide = g.context(g.Box(*(F.col(f"p_{c}") for c in CORNERS)), page_w, page_h)
+    chosen = F.col("p_x1").isNotNull() & (F.col("style") == "dialogue")
+    return rows.select("page", "pos", "parent", "style", *CORNERS, *(F.when(chosen, w).otherwise(F.col(c)).alias(f"c_{c}") for w, c in zip(wide, CORNERS, strict=True)))

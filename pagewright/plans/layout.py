@@ -131,6 +131,13 @@ def surface_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.joined_surfaces(paged(spark, sf_dir).withColumn("label", F.col("pos") % 3))
 
 
+def render_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes as units, of which some share a parent: the box at a third of their position."""
+    b = boxes(spark, sf_dir)
+    units = b.withColumns({"parent": F.floor((F.col("pos") + 2) / 3), "style": F.when(F.col("pos") % 2 == 0, "sfx").otherwise("dialogue")})
+    return r.render_contexts(units, b, PAGE_WIDTH, PAGE_HEIGHT).select("page", "pos", "c_x1", "c_y1", "c_x2", "c_y2")
+
+
 def fitted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     # A box grows with its text: as much space for each word as one of 40 to 190 by 60 to 260 has for nine.
@@ -140,7 +147,7 @@ def fitted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lettering.fit(units).select("page", "idx", "size", F.size("lines").alias("n_lines"), "skip_reason")
 
 
-QUERIES = {f.__name__: f for f in (region_viability, reading_order_page, reading_order_local, box_near_pairs, iou_pairs, containment_pairs, box_closure, centroid_clusters, row_islands_fixed_gap, column_histogram_valleys, dominant_label, input_dedupe, translation_budget, surface_stats, page_coverage, merged_regions, merged_phrases, median_rows, split_regions, separated_balloons, regrouped_boxes, phrase_rows, surface_phrases, fitted_text)}
+QUERIES = {f.__name__: f for f in (region_viability, reading_order_page, reading_order_local, box_near_pairs, iou_pairs, containment_pairs, box_closure, centroid_clusters, row_islands_fixed_gap, column_histogram_valleys, dominant_label, input_dedupe, translation_budget, surface_stats, page_coverage, merged_regions, merged_phrases, median_rows, split_regions, separated_balloons, regrouped_boxes, phrase_rows, surface_phrases, render_contexts, fitted_text)}
 
 
 def order_sql(columns: int) -> str:
@@ -196,6 +203,13 @@ ORACLES = {
       select s.page, s.pos, s.k, r.island, r.ys, r.hs, s.cy, s.h, abs(s.cy - list_aggregate(r.ys, 'median')) <= greatest(50, least(135, floor(list_aggregate(list_append(r.hs, s.h), 'median') * 0.75))) as near
       from r join s on s.page = r.page and s.k = r.k + 1))
   select page, pos, cast(island as bigint) as row from r""",
+    "render_contexts": f"""{WITH}, u as (select *, (pos + 2) // 3 as parent, count(*) over (partition by page, (pos + 2) // 3) = 1 and pos % 2 = 1 as alone from boxes),
+  j as (select u.page, u.pos, u.x1, u.y1, u.x2, u.y2, p.x1 as a, p.y1 as b, p.x2 as c, p.y2 as d, p.x2 - p.x1 as w, p.y2 - p.y1 as h from u left join boxes p on u.alone and p.page = u.page and p.pos = u.parent),
+  k as (select *, least(140, greatest(28, floor(w * 1.15), floor(h * 0.32))) as px, least(110, greatest(20, floor(h * 0.34), floor(w * 0.22))) as py from j),
+  m as (select *, case when w >= 280 then least(px, greatest(24, floor(w * 0.18))) else px end as qx from k),
+  n as (select *, cast(case when w * h >= 70000 then least(qx, 72) else qx end as bigint) as x, cast(case when w * h >= 70000 then least(py, 64) else py end as bigint) as y from m)
+  select page, pos, case when a is null then x1 else greatest(0, a - x) end as c_x1, case when a is null then y1 else greatest(0, b - y) end as c_y1,
+  case when a is null then x2 else least({PAGE_WIDTH}, c + x) end as c_x2, case when a is null then y2 else least({PAGE_HEIGHT}, d + y) end as c_y2 from n""",
     "page_coverage": """with u as (select conv_id as page, case when turn % 4 = 3 then '' else text end as text, turn % 5 <> 1 as renderable, length(text) % 3 <> 0 as drawn from conversations),
   f as (select *, length(trim(text)) > 0 as filled from u)
   select page, count(*) as detected, count(*) filter (where filled) as ocr, count(*) filter (where filled and renderable and drawn) as rendered, count(*) filter (where not filled) as ocr_empty,

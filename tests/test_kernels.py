@@ -85,3 +85,37 @@ def test_merges_by_page(spark):
     assert rows(ordered.merged_regions(df, 1000, 1000)) == [(1, 0, 0, 0, 110, 110), (1, 1, 300, 300, 340, 340), (2, 0, 0, 0, 10, 10)]
     assert ordered.merged_phrases(df.limit(0), 9, 9).count() == 0
     assert rows(ordered.median_rows(df)) == [(1, 0, 0), (1, 1, 0), (1, 2, 1), (2, 0, 0)]
+
+
+def test_large_regions_are_taken_apart():
+    mask = np.zeros((700, 700), bool)
+    for x, y in ((50, 50), (80, 60), (500, 500), (530, 520)):
+        mask[y : y + 12, x : x + 12] = True
+    whole = (40, 40, 560, 560)
+    assert raster.centre_clusters(mask, whole, 30, 2) == [(48, 48, 94, 74), (498, 498, 544, 534)]
+    assert raster.parts(mask, whole, 30, 2, False) == raster.parts(mask, whole, 30, 2, True) == raster.centre_clusters(mask, whole, 30, 2)
+    assert raster.centre_clusters(mask, (40, 40, 120, 120), 30, 2) == [] == raster.parts(mask, (200, 200, 300, 300), 30, 2, True)
+    # Two blocks of equal size, then one that has most of the pixels.
+    near = np.zeros((300, 300), bool)
+    near[20:60, 20:60] = near[20:60, 120:160] = True
+    assert raster.parts(near, (10, 10, 200, 100), 30, 2, False) == [(17, 17, 63, 63), (117, 17, 163, 63)]
+    near[20:24, 120:160] = False
+    near[28:60, 120:160] = False
+    assert raster.parts(near, (10, 10, 200, 100), 30, 2, False) == []
+    assert raster.viable(mask, (50, 50, 60, 60)) and not raster.viable(mask, (50, 50, 57, 60)) and not raster.viable(mask, (200, 200, 300, 300))
+
+
+def test_masks_of_a_detector(spark):
+    plane = np.zeros((1, 1, 512, 512), np.float32)
+    plane[..., 128:256, 128:384] = 0.9
+    got = raster.text_mask([np.zeros((1, 5, 7)), plane], 100, 200, 0.3)
+    assert got.shape == (200, 100) and got[55:95, 30:70].all() and not got[:45].any() and not got[105:].any()
+    assert raster.text_mask([np.full((4, 8), 255.0)], 16, 8, 0.3).all() and not raster.text_mask([np.zeros(3)], 4, 4, 0.3).any()
+    image = np.zeros((10, 20, 3), np.uint8)
+    image[..., 0] = 255
+    blob = raster.model_input(image, 64)
+    assert blob.shape == (1, 3, 64, 64) and (blob[0, 2] == 1).all() and not blob[0, :2].any()
+    assert (raster.resized(np.arange(4.0)[None], 8, 1) == [[0, 0.25, 0.75, 1.25, 1.75, 2.25, 2.75, 3]]).all()
+    df = spark.createDataFrame([(1, 200, 100, bytes(60_000)), (2, 1, 1, b"")], "page long, height int, width int, pixels binary")
+    masks = raster.detected(df, lambda blob: [plane])
+    assert [(r["page"], sum(r["mask"])) for r in masks.collect()] == [(1, int(got.sum()))] and raster.mask_regions(masks).count() == 1
