@@ -42,6 +42,11 @@ def near(a: Box, b: Box, most: int) -> Column:
     return (x <= most) & (y <= most)
 
 
+def apart(a: tuple, b: tuple) -> int:
+    """The larger free space, along either axis, between two boxes of numbers; below 0 where they overlap."""
+    return max(max(a[0], b[0]) - min(a[2], b[2]), max(a[1], b[1]) - min(a[3], b[3]))
+
+
 def intersection(a: Box, b: Box) -> Column:
     w = F.greatest(F.lit(0), F.least(a.x2, b.x2) - F.greatest(a.x1, b.x1))
     h = F.greatest(F.lit(0), F.least(a.y2, b.y2) - F.greatest(a.y1, b.y1))

@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as g
 from pagewright.operators.graph import components as connected
-from pagewright.session import saved
+from pagewright.operators.pages import by_page
+from pagewright.session import join_small, saved
 
 CORNERS = ["x1", "y1", "x2", "y2"]
 #: Side of the cells of the finest grid; each grid is four times as coarse as the one before.
 CELL, COARSER = 256, 4
+#: Boxes of a page that a kernel sees whole; a page with more is crowded.
+FEW = 256
 
 
 def reading_order(regions: DataFrame, page_width: int, columns: int = 3) -> DataFrame:
@@ -91,22 +94,44 @@ def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
     return points.join(areas, ["page", "level", "cell_x", "cell_y"]).where(inside).select("page", "inner", "outer")
 
 
+def by_size(boxes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Boxes of pages with few, which a kernel sees whole, and of crowded pages, if there are any; boxes must be a written table."""
+    pages = saved(boxes.groupBy("page").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("page"))
+    if pages.isEmpty():
+        return boxes, None
+    return join_small(boxes, pages, "page", "left_anti"), join_small(boxes, pages, "page", "left_semi")
+
+
 def closure(boxes: DataFrame, gap: int) -> DataFrame:
     """The boxes left when near ones are joined until none are near, with the least position of each.
 
-    Every box takes the hull of the boxes near to it, itself included, until none grows. Only pages on which a
-    box has grown go on to the next round.
+    Pages with few boxes are closed by a kernel each. On crowded pages every box takes the hull of the boxes near to
+    it, itself included, until none grows; only pages on which a box has grown go on to the next round.
     """
 
+    def kernel(rows: list[tuple]) -> list[tuple]:
+        out: list[tuple] = []
+        for own in rows:
+            while (met := next((k for k, x in enumerate(out) if g.apart(own[1:], x[1:]) <= gap), None)) is not None:
+                x = out.pop(met)
+                own = min(own[0], x[0]), min(own[1], x[1]), min(own[2], x[2]), max(own[3], x[3]), max(own[4], x[4])
+            out.append(own)
+        return out
+
     def distinct(df: DataFrame) -> DataFrame:
         # Of equal boxes the least position stays.
         return df.groupBy("page", *CORNERS).agg(F.min("pos").alias("pos")).select("page", "pos", *CORNERS)
 
-    now, done = saved(distinct(boxes)), []
-    while True:
+    whole = saved(boxes.select("page", "pos", *CORNERS))
+    few, now = by_size(whole)
+    kinds = {f.name: f.dataType for f in whole.schema}
+    out = by_page(few.withColumn("at", F.col("pos")), ["at", *CORNERS], kernel, ["at", *CORNERS]).drop("pos").withColumnRenamed("at", "pos")
+    out = out.select(*(F.col(c).cast(kinds[c]).alias(c) for c in ("page", "pos", *CORNERS)))
+    now = saved(distinct(now)) if now else None
+    while now and not now.isEmpty():
         found = near_pairs(now, gap)
-        sides = found.select("page", "a", "b").unionAll(found.select("page", F.col("b").alias("a"), F.col("a").alias("b")))
-        sides = sides.select("page", F.col("a.pos").alias("at"), *(F.col(f"b.{c}") for c in CORNERS), F.col("b.pos").alias("pos"))
+        both = F.explode(F.array(F.struct(F.col("a").alias("own"), F.col("b").alias("other")), F.struct(F.col("b").alias("own"), F.col("a").alias("other"))))
+        sides = found.select("page", both.alias("s")).select("page", F.col("s.own.pos").alias("at"), *(F.col(f"s.other.{c}") for c in CORNERS), F.col("s.other.pos").alias("pos"))
         every = sides.unionByName(now.withColumn("at", F.col("pos")).select("page", "at", *CORNERS, "pos"))
         own = [F.max(F.when(F.col("pos") == F.col("at"), F.col(c))) for c in CORNERS]
         hull = [F.min("x1"), F.min("y1"), F.max("x2"), F.max("y2")]
@@ -115,13 +140,8 @@ def closure(boxes: DataFrame, gap: int) -> DataFrame:
             grown = grown | (was != is_now)
         hulls = saved(every.groupBy("page", "at").agg(*(h.alias(c) for h, c in zip(hull, CORNERS, strict=True)), F.min("pos").alias("pos"), grown.alias("grown")))
         moved = hulls.where("grown").select("page").distinct()
-        done.append(hulls.join(moved, "page", "left_anti").select("page", "pos", *CORNERS))
+        out = out.unionAll(hulls.join(moved, "page", "left_anti").select("page", "pos", *CORNERS))
         now = saved(distinct(hulls.join(moved, "page", "left_semi")))
-        if now.isEmpty():
-            break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionAll(d)
     return out
 
 
@@ -138,10 +158,20 @@ def centroid_clusters(components: DataFrame, distance: int) -> DataFrame:
         x, y = a.x1 - b.x1, a.y1 - b.y1
         return x * x + y * y < 4 * distance * distance
 
+    def kernel(rows: list[tuple]) -> list[tuple]:
+        groups: list[list[tuple]] = []
+        for own in rows:
+            met = [x for x in groups if any((own[1] - a) ** 2 + (own[2] - b) ** 2 < 4 * distance * distance for _, a, b in x)]
+            groups = [x for x in groups if x not in met] + [[own, *(p for x in met for p in x)]]
+        return [(p, least) for x in groups for least in [min(x)[0]] for p, _, _ in x]
+
     # A point at twice the centre stands for a box, so that all is whole.
     x, y = ((F.col(f"{c}1") + F.col(f"{c}2")).cast("long") for c in "xy")
-    points = components.select("page", "pos", x.alias("x1"), y.alias("y1"), x.alias("x2"), y.alias("y2"))
-    return linked(points, pairs(points, close, 2 * distance).select("page", F.col("a.pos").alias("a"), F.col("b.pos").alias("b")))
+    points = saved(components.select("page", "pos", x.alias("x1"), y.alias("y1"), x.alias("x2"), y.alias("y2")))
+    few, many = by_size(points)
+    out = by_page(few.withColumn("at", F.col("pos")), ["at", "x1", "y1"], kernel, ["at", "root"]).drop("pos").withColumnRenamed("at", "pos")
+    out = out.select(*(F.col(c).cast(points.schema["pos" if c == "root" else c].dataType).alias(c) for c in ("page", "pos", "root")))
+    return out.unionAll(linked(many, pairs(many, close, 2 * distance).select("page", F.col("a.pos").alias("a"), F.col("b.pos").alias("b")))) if many else out
 
 
 def dominant_label(pixels: DataFrame, components: DataFrame, least_area: int = 2500) -> DataFrame:

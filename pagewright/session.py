@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[str] = []
 
@@ -31,6 +32,12 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_small(large: DataFrame, small: DataFrame, on: str | list[str], how: str, rows: int = 500_000) -> DataFrame:
+    """Join with a broadcast if small has at most so many rows, counted first, else with a shuffle."""
+    n = small.limit(rows + 1).count()
+    return large.join(F.broadcast(small) if n <= rows else small, on, how)
+
+
 def clear(spark: SparkSession) -> int:
     """Remove all tables that this process has written between steps; results that still read them are lost."""
     jvm, n = spark.sparkContext._jvm, len(_written)

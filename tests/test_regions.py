@@ -38,13 +38,20 @@ def pages():
     return out
 
 
-def test_closure(spark, pages):
+@pytest.fixture(params=["few", "crowded"])
+def kind(request, monkeypatch):
+    """Pages as kernels see them, and as if all were crowded."""
+    if request.param == "crowded":
+        monkeypatch.setattr(r, "FEW", 0)
+
+
+def test_closure(spark, pages, kind):
     found = r.closure(spark.createDataFrame(pages, SCHEMA), 12)
     got = {p: sorted(tuple(x[2:]) for x in found.collect() if x[0] == p) for p in {x[0] for x in pages}}
     assert got == {p: close([x[2:] for x in pages if x[0] == p], 12) for p in got}
 
 
-def test_closure_of_grown_boxes(spark):
+def test_closure_of_grown_boxes(spark, kind):
     boxes = [(1, 0, 0, 0, 10, 50), (1, 1, 10, 40, 50, 50), (1, 2, 30, 5, 35, 10)]
     assert [tuple(x) for x in r.closure(spark.createDataFrame(boxes, SCHEMA), 0).collect()] == [(1, 0, 0, 0, 50, 50)]
 
@@ -57,7 +64,7 @@ def test_pairs_are_made_once(spark, pages):
         assert got == want
 
 
-def test_clusters(spark):
+def test_clusters(spark, kind):
     boxes = [(1, 0, 0, 0, 10, 10), (1, 1, 100, 0, 110, 10), (1, 2, 200, 0, 210, 10), (1, 3, 300, 0, 310, 10), (2, 0, 0, 0, 10, 10)]
     got = rows(r.centroid_clusters(spark.createDataFrame(boxes, SCHEMA), 100))
     assert got == [(1, 0, 0), (1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 0, 0)]
@@ -101,7 +108,7 @@ def test_budgets(spark):
     assert [tuple(x[1]) for x in df.select("i", g.budget(F.col("s"), F.col("w"), F.col("h"))).orderBy("i").collect()] == list(want.values())
 
 
-def test_empty(spark):
+def test_empty(spark, kind):
     none = spark.createDataFrame([], SCHEMA)
     assert r.closure(none, 3).count() == r.near_pairs(none, 3).count() == r.centroid_clusters(none, 3).count() == 0
 
