@@ -29,6 +29,8 @@ PAD = max(ORDERS) - 1
 #: Characters of one text handled at once.
 PART = 1 << 20
 SMOOTH = 0.1
+#: Least posterior of a text that is passed, and how far, per n-gram, its log-likelihood may be below what the model expects of its language.
+LEAST, MARGIN = 0.5, 3.0
 
 _letters: list[np.ndarray] = []
 
@@ -122,20 +124,31 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang") -> tuple[lis
     return names, table.astype(np.float32)
 
 
-def decide(column: pa.Array, model: tuple[list[str], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the language of each text, -1 for none, and its posterior."""
+def decide(column: pa.Array, model: tuple[list[str], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the language of each text, -1 for none, its posterior, and its log-likelihood per n-gram less what the language's own texts have."""
     names, table = model
-    best, score = np.full(len(column), -1), np.zeros(len(column))
+    best, score, above = np.full(len(column), -1), np.zeros(len(column)), np.zeros(len(column))
     if names:
+        whole = table.astype(np.float64)
+        expected = (np.exp(whole[:BUCKETS]) * whole[:BUCKETS]).sum(axis=0)
         for i, j, code, first in chunks(column):
-            total = np.zeros((j - i, len(names)))
+            total, size = np.zeros((j - i, len(names))), np.zeros(j - i)
             for n in ORDERS:
                 # A text alone may be long: its n-grams are counted, not looked up one by one.
-                total += counts(code, n) @ table.astype(np.float64) if j - i == 1 else np.add.reduceat(table[buckets(code, n)], first, axis=0, dtype=np.float64)
+                if j - i == 1:
+                    c = counts(code, n)
+                    total += c @ whole
+                    size += c[:BUCKETS].sum()
+                else:
+                    b = buckets(code, n)
+                    total += np.add.reduceat(table[b], first, axis=0, dtype=np.float64)
+                    size += np.add.reduceat((b < BUCKETS).astype(np.int64), first)
             some = np.add.reduceat((code != 32).astype(np.int64), first) > 0
             p = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-            best[i:j], score[i:j] = np.where(some, total.argmax(axis=1), -1), np.where(some, p, 0)
-    return best, score
+            own = total.argmax(axis=1)
+            best[i:j], score[i:j] = np.where(some, own, -1), np.where(some, p, 0)
+            above[i:j] = total[np.arange(j - i), own] / np.maximum(size, 1) - expected[own]
+    return best, score, above
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -146,22 +159,26 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = shared.value[0]
         for b in batches:
-            best, score = decide(b.column(1), shared.value)
+            best, score, _ = decide(b.column(1), shared.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([names[k] if k >= 0 else "und" for k in best], pa.string()), pa.array(score, pa.float64())], [key, "lang_pred", "score"])
 
     return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, lang_pred string, score double")
 
 
-def passed(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, that have a language with at least this posterior."""
+def passed(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", least: float = LEAST, margin: float = MARGIN) -> DataFrame:
+    """The rows of docs, with all their columns, that have a language with at least this posterior and look like a text in it.
+
+    The posterior alone is near 1 for nearly all texts, as one language always fits best; what is in none of them, noise and code among it, is far
+    less likely per n-gram than the language's own texts.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            best, score = decide(b.column(at), shared.value)
-            yield b.filter(pa.array((best >= 0) & (score >= least)))
+            best, score, above = decide(b.column(at), shared.value)
+            yield b.filter(pa.array((best >= 0) & (score >= least) & (above >= -margin)))
 
     return docs.mapInArrow(run, docs.schema)
 

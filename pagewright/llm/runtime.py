@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.session import join_small
 from pagewright.session import saved as materialise
 
 __all__ = ["buffers", "join_hot", "join_small", "materialise", "slices", "small_batches"]
@@ -25,12 +26,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
-def join_small(large: DataFrame, small: DataFrame, on: str | list[str], how: str, rows: int) -> DataFrame:
-    """Join with a broadcast if small has at most so many rows, counted first, else with a shuffle."""
-    n = small.limit(rows + 1).count()
-    return large.join(F.broadcast(small) if n <= rows else small, on, how)
-
-
 def join_hot(large: DataFrame, small: DataFrame, on: str, part: int = 100_000) -> DataFrame:
     """Left join on a column of which some values may hold a large part of large; small has it once, with its rows there in n.
 

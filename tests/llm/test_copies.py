@@ -150,7 +150,7 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def brute_repeats(rows, width=200):
+def brute_repeats(rows, width=200, kept=False):
     count = collections.Counter()
     for _, t in rows:
         b = (t or "").encode()
@@ -162,8 +162,8 @@ def brute_repeats(rows, width=200):
         for i in range(len(b) - width + 1):
             if count[b[i : i + width]] > 1:
                 gone[i : i + width] = True
-        kept = bytes(np.frombuffer(b, np.uint8)[~gone[:-1]]) if b else b""
-        out[k] = (len(b), int(gone.sum()), int((gone[:-1] & ~np.roll(gone, 1)[:-1]).sum()), hashlib.sha256(kept).hexdigest())
+        rest = bytes(np.frombuffer(b, np.uint8)[~gone[:-1]]) if b else b""
+        out[k] = rest.decode("utf-8", "ignore") if kept else (len(b), int(gone.sum()), int((gone[:-1] & ~np.roll(gone, 1)[:-1]).sum()), hashlib.sha256(rest).hexdigest())
     return out
 
 

@@ -130,7 +130,7 @@ def test_language_counts_by_hand():
     table = np.random.default_rng(0).random((language.BUCKETS + 1, 3)).astype(np.float32)
     table[language.BUCKETS] = 0
     column = pa.array(["Abc, dé!", None, "9", "xyz" * 50])
-    best, score = language.decide(column, (["a", "b", "c"], table))
+    best, *_ = language.decide(column, (["a", "b", "c"], table))
     for k, t in enumerate(["Abc, dé!", "", "9", "xyz" * 50]):
         code = np.array([32] * 2 + [ord(c) if c.isalpha() else 32 for c in t.lower()] + [32] * 4, np.uint32)
         total = sum(table[language.buckets(code, n)][: len(t) + 2].sum(axis=0, dtype=float) for n in language.ORDERS)
@@ -171,6 +171,17 @@ def test_language_counts_against_a_plain_count(spark):
         assert np.allclose(table[:-1, j], np.log(n / n.sum()), atol=1e-5)
 
 
+def test_texts_in_no_known_language_go(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 400, k), LANGS[k]) for i, k in enumerate(list(LANGS) * 60)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    noise = "".join(rng.choice("bcdfghjkpqvwxyz ") for _ in range(2000))
+    code = "for i in range(10): x[i] = foo(bar, baz) ** 2; if not x: return None " * 9
+    others = [prose(rng, 80, "zü"), prose(rng, 60, "wo"), noise, code, "Съешь же ещё этих мягких булок " * 9, "12 34"]
+    kept = language.passed(frame(spark, others), model)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1]
+
+
 def test_classifier(spark, none):
     rng = random.Random(6)
     rows, labels = [], []
@@ -345,3 +356,32 @@ def test_pipeline_keeps_columns(spark, tmp_path, docs):
     ids = {r["doc_id"] for r in rows.collect()}
     assert {1, 4, 7, 13} <= ids and not ids & {22, 25, 28}
     assert pipeline.run(spark, str(tmp_path)).count() == rows.count()
+
+
+def test_pipeline_against_plain_python(spark, tmp_path, docs):
+    """All rows of run(): the first two stages' keys from their operators, the other three in plain Python."""
+    from test_copies import brute_classes, brute_repeats
+
+    from pagewright.llm import quality_rules
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1), (4, 1), (7, 1), (10, 1), (13, 1), (46, 1), (55, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    good = quality_rules.passed(rows, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    known = language.passed(good, language.train(good.where(~language.held_out())))
+    text = {r["doc_id"]: r["text"] for r in known.collect()}
+    classes = brute_classes(sorted(text.items()))
+    text = {k: text[k] for k in text if classes[k] == k}
+    gone = brute_repeats(list(text.items()), kept=True)
+    want = set()
+    for k, t in gone.items():
+        ids = wanted(t) + b"\2\0\0\0"
+        n, at, piece = len(ids) // 4, 0, 0
+        while at < n:
+            size = n - at if n <= 1024 else (n % 1024 or 1024) if at == 0 else 1024
+            want.add((k, piece, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
+            at, piece = at + size, piece + 1
+    got = [(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in pipeline.run(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) > 5 and set(got) == want
+    assert any(t != text[k] for k, t in gone.items())
