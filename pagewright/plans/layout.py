@@ -171,8 +171,8 @@ ORACLES = {
     "containment_pairs": f"""{WITH} select a.page, a.pos as inside, b.pos as holder from boxes a join boxes b on a.page = b.page and a.pos <> b.pos
   and b.x1 <= a.x1 + (a.x2 - a.x1) // 2 and a.x1 + (a.x2 - a.x1) // 2 < b.x2 and b.y1 <= a.y1 + (a.y2 - a.y1) // 2 and a.y1 + (a.y2 - a.y1) // 2 < b.y2""",
     "box_closure": f"""with recursive boxes as ({BOXES}), c as (select 0 as k, page, pos, x1, y1, x2, y2 from boxes
-  union all select a.k + 1, a.page, a.pos, min(b.x1), min(b.y1), max(b.x2), max(b.y2) from c a join c b on a.page = b.page and {NEAR} where a.k < 12 group by a.k, a.page, a.pos)
-  select distinct page, x1, y1, x2, y2 from c where k = 12""",
+  union all select a.k + 1, a.page, a.pos, min(b.x1), min(b.y1), max(b.x2), max(b.y2) from c a join c b on a.page = b.page and {NEAR} where a.k < 40 group by a.k, a.page, a.pos)
+  select distinct page, x1, y1, x2, y2 from c where k = 40""",
     "centroid_clusters": f"""with recursive boxes as ({BOXES}), e as (select a.page, a.pos as a, b.pos as b from boxes a join boxes b on a.page = b.page and
   ((a.x1 + a.x2) - (b.x1 + b.x2)) * ((a.x1 + a.x2) - (b.x1 + b.x2)) + ((a.y1 + a.y2) - (b.y1 + b.y2)) * ((a.y1 + a.y2) - (b.y1 + b.y2)) < {4 * DISTANCE * DISTANCE}),
   reach as (select page, pos as a, pos as b from boxes union select reach.page, reach.a, e.b from reach join e on reach.page = e.page and reach.b = e.a)

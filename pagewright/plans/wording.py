@@ -49,7 +49,7 @@ def postprocess_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def needs_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = texts(spark, sf_dir)
-    target = F.when(F.col("idx") % 5 == 0, F.col("source")).when(F.col("idx") % 5 == 1, "...").when(F.col("idx") % 5 == 2, "I cannot assist").otherwise(F.col("target"))
+    target = F.when(F.col("idx") % 5 == 0, F.col("source")).when(F.col("idx") % 5 == 1, "...").when(F.col("idx") % 5 == 2, "I cannot assist").when(F.col("idx") % 5 == 3, F.left("target", F.lit(9))).otherwise(F.col("target"))
     return u.select("page", "idx", t.needs_repair(F.col("source"), target).alias("repair"))
 
 
@@ -83,7 +83,7 @@ def stub(prompts: list[str]) -> list[str | None]:
             kind = sum(map(ord, text)) % 11
             if kind == 0:
                 continue
-            lines.append(f"{mark} I cannot assist" if kind == 1 else f"{mark} {text[:20].upper()}")
+            lines.append(f"{mark} I cannot assist" if kind == 1 else f"{mark} {text.upper()}")
         out.append("\n".join(lines))
     return out
 
@@ -133,8 +133,8 @@ ORACLES = wording_sql.ORACLES | {
   select page, idx, case when parts <> '' then '(' || parts || ')' else '' end as tag from p""",
     "prompt_batches": f"""{WITH}, m as (select page, idx, max(target) as text from u group by all), n as (select page, idx // 3 as batch, text, row_number() over (partition by page, idx // 3 order by idx) as number from m where trim(text) <> '')
   select page, batch, cast(max(number) as int) as expected, string_agg('[' || number || '] ' || text, chr(10) order by number) as prompt from n group by page, batch""",
-    "needs_repair": f"""{WITH}, c as (select page, idx, trim(source) as src, trim(case when idx % 5 = 0 then source when idx % 5 = 1 then '...' when idx % 5 = 2 then 'I cannot assist' else target end) as tgt from u),
-  d as (select *, length(regexp_replace(src, '[．。、・\\s.!?♡♪～〜＊＾「」『』（）ッ♥]', '', 'g')) as content from c)
+    "needs_repair": f"""{WITH}, c as (select page, idx, trim(source) as src, trim(case when idx % 5 = 0 then source when idx % 5 = 1 then '...' when idx % 5 = 2 then 'I cannot assist' when idx % 5 = 3 then left(target, 9) else target end) as tgt from u),
+  d as (select *, length({wording_sql.gone("src", f"[{wording_sql.QUIET}]")}) as content from c)
   select page, idx, case when tgt = '' then true when content = 0 then false when tgt = src then true when tgt in ('[', ']', '[8', '[9', '..') then true when tgt = '...' and content >= 3 then true
-  when regexp_matches(lower(tgt), 'i can.t (provide|assist)|i cannot (provide|assist)|unable to') then true when regexp_matches(tgt, '[぀-ヿ㐀-䶿一-鿿豈-﫿─-◿]') then true else length(src) >= 8 and length(tgt) <= 1 end as repair from d""",
+  when {wording_sql.found("lower(tgt)", "|".join(t.REFUSALS))} or {wording_sql.found("tgt", f"[{wording_sql.CJK}─-◿]")} or {wording_sql.sound("tgt")} then true else length(src) >= 8 and length(tgt) <= 1 end as repair from d""",
 }
