@@ -68,8 +68,8 @@ def opened(mask: np.ndarray, size: int, round_: bool = False) -> np.ndarray:
     return dilated(eroded(mask, size, round_), size, round_)
 
 
-def components(mask: np.ndarray) -> list[tuple[Corners, int, float, float]]:
-    """Box, area and centroid of each 8-connected component, by its first pixel in reading order."""
+def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start, end and component of each run of pixels; a component is 8-connected and named by its first run."""
     edge = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     y, start = np.nonzero(edge == 1)
     end = np.nonzero(edge == -1)[1]
@@ -93,7 +93,26 @@ def components(mask: np.ndarray) -> list[tuple[Corners, int, float, float]]:
                 i += 1
             else:
                 j += 1
-    root = np.array([find(i) for i in range(len(y))], int)
+    return y, start, end, np.array([find(i) for i in range(len(y))], int)
+
+
+def shapes(mask: np.ndarray) -> list[tuple[Corners, np.ndarray]]:
+    """Box of each component, in reading order, and its pixels there."""
+    y, start, end, root = runs(mask)
+    label = np.zeros(mask.shape, np.int32)
+    for line, a, b, r in zip(y.tolist(), start.tolist(), end.tolist(), root.tolist(), strict=True):
+        label[line, a:b] = r + 1
+    out = []
+    for r in np.unique(root):
+        k = root == r
+        box = int(start[k].min()), int(y[k].min()), int(end[k].max()), int(y[k].max()) + 1
+        out.append((box, label[box[1] : box[3], box[0] : box[2]] == r + 1))
+    return out
+
+
+def components(mask: np.ndarray) -> list[tuple[Corners, int, float, float]]:
+    """Box, area and centroid of each component, in reading order."""
+    y, start, end, root = runs(mask)
     out = []
     for r in np.unique(root):
         k = root == r

@@ -65,11 +65,10 @@ def bright_balloon(crop: np.ndarray) -> bool:
     bright = raster.closed(light > int(np.clip(np.percentile(light, 82), 205, 235)), 7, True)
     h, w = light.shape
     small, box = (0.035, 0.03) if h * w >= 120_000 else (0.12, 0.10)
-    for (x1, y1, x2, y2), pixels, _, _ in raster.components(bright):
-        size = (x2 - x1) * (y2 - y1)
+    for (x1, y1, x2, y2), shape in raster.shapes(bright):
+        size, pixels = (x2 - x1) * (y2 - y1), int(shape.sum())
         if pixels >= max(500, int(h * w * small)) and size >= int(h * w * box) and min(x2 - x1, y2 - y1) >= 36 and pixels / size >= 0.42:
-            # Components are told by their boxes, so the colour is that of the bright pixels there.
-            if colour[y1:y2, x1:x2][bright[y1:y2, x1:x2]].mean() <= 55:
+            if colour[y1:y2, x1:x2][shape].mean() <= 55:
                 return True
     return False
 
