@@ -31,7 +31,7 @@ def numbered(rows: DataFrame, by: str, name: str = "pos") -> DataFrame:
 
 
 def folder(spark: SparkSession, path: str) -> DataFrame:
-    """Page images directly in a folder: page_id, pos by path, path, length, content."""
+    """Page images directly in a folder: page_id, pos by path, path, length, content. Files of no bytes are left out, as Spark's file sources do."""
     found = images(spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path))
     names = numbered(found.select("path"), "path")
     return found.join(names, "path").select(F.regexp_extract("path", "([^/]+)$", 1).alias("page_id"), "pos", "path", "length", "content")
