@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as g
-from pagewright.operators import lettering, ordered, splitting
+from pagewright.operators import grounds, lettering, ordered, splitting
 from pagewright.operators import regions as r
-from pagewright.plans.tables import BOXES, PAGE_HEIGHT, PAGE_WIDTH, boxes
+from pagewright.plans.tables import BOXES, CROP, INK, PAGE_HEIGHT, PAGE_WIDTH, boxes
 
 GAP, DISTANCE, ROW = 30, 180, 60
 AREA = PAGE_WIDTH * PAGE_HEIGHT
@@ -147,7 +147,54 @@ def fitted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lettering.fit(units).select("page", "idx", "size", F.size("lines").alias("n_lines"), "skip_reason")
 
 
-QUERIES = {f.__name__: f for f in (region_viability, reading_order_page, reading_order_local, box_near_pairs, iou_pairs, containment_pairs, box_closure, centroid_clusters, row_islands_fixed_gap, column_histogram_valleys, dominant_label, input_dedupe, translation_budget, surface_stats, page_coverage, merged_regions, merged_phrases, median_rows, split_regions, separated_balloons, regrouped_boxes, phrase_rows, surface_phrases, render_contexts, fitted_text)}
+def crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units with a crop of dark red art and one block of marks, of sizes that go with the part's key."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    units = part.selectExpr(*(f"cast({CROP[name]} as int) as {name}" for name in ("w", "h")), *(f"{CROP[name]} as {name}" for name in ("page", "style", "text")), "p_partkey", "p_size")
+    units = units.selectExpr("*", *(f"cast({INK[name]} as int) as {name}" for name in INK))
+    line = "concat(repeat(char(0), x), repeat(char(1), iw), repeat(char(0), w - x - iw))"
+    pixels, mask = "repeat(concat(char(0), char(0), 'x'), w * h)", f"concat(repeat(char(0), w * y), repeat({line}, ih), repeat(char(0), w * (h - y - ih)))"
+    return units.selectExpr("page", "0L as idx", "style", "text", "w as width", "h as height", f"cast({pixels} as binary) as pixels", f"cast({mask} as binary) as mask")
+
+
+def text_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grounds.text_boxes(crops(spark, sf_dir)).select("page", *(F.col(c).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")), "stands", F.length("mask").alias("n_mask"))
+
+
+QUERIES = {f.__name__: f for f in (region_viability, reading_order_page, reading_order_local, box_near_pairs, iou_pairs, containment_pairs, box_closure, centroid_clusters, row_islands_fixed_gap, column_histogram_valleys, dominant_label, input_dedupe, translation_budget, surface_stats, page_coverage, merged_regions, merged_phrases, median_rows, split_regions, separated_balloons, regrouped_boxes, phrase_rows, surface_phrases, render_contexts, fitted_text, text_boxes)}
+
+
+def sound_sql(a: str, size: str, most: str, share: float, least: int, part: float) -> tuple[str, str]:
+    """Ends of a sound's box along one axis."""
+    grow, least_size = f"greatest(5, floor({size} * {share}::double))", f"greatest({least}, floor({most} * {part}::double))"
+    low, high = f"greatest(0, {a} - {grow})", f"least({most}, {a} + {size} + {grow})"
+    middle, half = f"floor(({low} + {high}) / 2.0)", f"floor({least_size} / 2.0)"
+    small = f"{high} - {low} < {least_size}"
+    return f"case when {small} then greatest(0, {middle} - {half}) else {low} end", f"case when {small} then least({most}, {middle} + {half}) else {high} end"
+
+
+def near_sql(a: str, size: str, most: str, share: float, also: str, tall: float, other: float, least: int) -> tuple[str, str]:
+    """Ends of a box close to marks along one axis."""
+    grow = f"greatest(8, floor({size} * {share}::double), floor(least(w, h) * 0.03::double), {also})"
+    low, high = f"greatest(0, {a} - {grow})", f"least({most}, {a} + {size} + {grow})"
+    longest = f"greatest({least}, floor({size} * case when ih > iw * 1.2::double then {tall}::double else {other}::double end))"
+    return tuple(f"case when {high} - {low} <= {longest} then {end} else round_even(({low} + {high} {sign} {longest}) / 2.0, 0) end" for end, sign in ((low, "-"), (high, "+")))
+
+
+def text_boxes_sql() -> str:
+    names = ("x1", "x2", "y1", "y2")
+    sound = *sound_sql("x", "iw", "w", 0.45, 28, 0.28), *sound_sql("y", "ih", "h", 0.60, 22, 0.24)
+    across, down = "case when ih > iw * 1.35::double then least(58, floor(ih * 0.14::double)) else 0 end", "case when iw > ih * 1.8::double then least(52, floor(iw * 0.12::double)) else 0 end"
+    near = *near_sql("x", "iw", "w", 0.38, across, 1.42, 1.70, 48), *near_sql("y", "ih", "h", 0.36, down, 1.38, 1.62, 42)
+    columns = (f"{s} as s_{n}, {e} as n_{n}" for n, s, e in zip(names, sound, near, strict=True))
+    filled = "iw * ih > floor(w * h * 0.75::double) or n_x2 - n_x1 < 18 or n_y2 - n_y1 < 18"
+    whole = dict(zip(names, ("0", "w", "0", "h"), strict=True))
+    ends = (f"cast(case when style = 'sfx' then s_{n} when {filled} then {whole[n]} else n_{n} end as bigint) as {n}" for n in names)
+    return f"""with c as (select p_partkey, p_size, {', '.join(f'{CROP[n]} as {n}' for n in CROP)} from part), i as (select *, {', '.join(f'{INK[n]} as {n}' for n in INK)} from c),
+  b as (select *, {', '.join(columns)} from i), e as (select *, {', '.join(ends)} from b),
+  d as (select *, x2 - x1 as bw, y2 - y1 as bh from e)
+  select page, x1, y1, x2, y2, case when style = 'sfx' then 'sound' when regexp_matches(text, '[A-Za-z0-9]') and bw >= 24 and bh >= 20 and bw * bh >= 700 and iw * ih >= greatest(24, floor(bw * bh * 0.004::double))
+    and bw <= greatest(120, least(280, floor(iw * 5.0::double))) and bh <= greatest(140, floor(ih * 2.8::double)) then 'art' else 'none' end as stands, cast(null as integer) as n_mask from d"""
 
 
 def order_sql(columns: int) -> str:
@@ -156,6 +203,7 @@ def order_sql(columns: int) -> str:
 
 
 ORACLES = {
+    "text_boxes": text_boxes_sql(),
     "region_viability": f"{WITH} select page, pos, (x2 - x1) * (y2 - y1) as area, ((y2 - y1) > (x2 - x1) * 2 or ((y2 - y1) > (x2 - x1) * 1.5 and x2 - x1 < 200)) as vertical from boxes where x2 - x1 >= 40 and y2 - y1 >= 40",
     "reading_order_page": order_sql(3),
     "reading_order_local": order_sql(2),

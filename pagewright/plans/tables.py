@@ -15,6 +15,9 @@ select l_orderkey as page, row_number() over (partition by l_orderkey order by l
   (l_partkey * 37) % 900 as x1, (l_suppkey * 53) % 1300 as y1,
   (l_partkey * 37) % 900 + 12 + cast(l_quantity as bigint) * 3 as x2, (l_suppkey * 53) % 1300 + 12 + l_partkey % 90 as y2
 from lineitem"""
+#: A crop of a part and, in it, a block of marks, in expressions that both engines read alike.
+CROP = {"page": "p_partkey", "w": "60 + p_partkey * 7 % 140", "h": "60 + p_partkey * 11 % 120", "style": "case when p_partkey % 3 = 0 then 'sfx' else 'dialogue' end", "text": "case when p_partkey % 5 = 0 then '...' else p_name end"}
+INK = {"x": "p_partkey * 13 % (w - 56)", "y": "p_partkey * 17 % (h - 56)", "iw": "5 + p_size", "ih": "5 + p_partkey * 3 % 51"}
 TEXTS = f"select conv_id as page, turn as idx, translate(lower(text), '{LATIN}', '{KANA}') as source, text as target from conversations"
 
 
