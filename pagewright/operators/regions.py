@@ -227,7 +227,7 @@ def render_contexts(units: DataFrame, parents: DataFrame, page_w: int, page_h: i
     """units (page, pos, parent, style, corners) with c_x1 to c_y2: the box in which to look for a unit's balloon.
 
     A unit alone in its parent (page, pos) has the parent's box, and room around it, if it is dialogue; units that share a parent, or have none, keep
-    their own.
+    their own; `contexts.local_contexts` gives the boxes of those that share one.
     """
     alone = units.groupBy("page", "parent").agg(F.count("*").alias("n")).where("n = 1").select("page", "parent")
     held = parents.select("page", F.col("pos").alias("parent"), *(F.col(c).alias(f"p_{c}") for c in CORNERS)).join(alone, ["page", "parent"])

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pagewright.operators.ordered import Corners, area, gaps, hull, rows_by_median
 from pagewright.operators.pages import by_page
-from pagewright.operators.raster import joined
+from pagewright.operators.raster import dilated, eroded, joined, odd, shapes
 
 Test = Callable[[Corners], bool]
 
@@ -354,6 +354,50 @@ def split_columns(groups: list[Corners], boxes: list[Corners], paper: Test, dept
     return out
 
 
+def text_lobes(mask: np.ndarray, boxes: list[Corners]) -> list[list[Corners]]:
+    """Boxes by the balloon they stand in, of balloons whose paper touches; none if it is one balloon.
+
+    The mask is of one component of paper, set where it is, and the boxes are in its coordinates. Taking off the edge of the paper breaks the neck
+    between balloons; a box goes to the part it has most in common with, or to none, if it has little in common with all.
+    """
+    h, w = mask.shape
+    paper = mask > 0
+    n = int(paper.sum())
+    if len(boxes) < 2 or max(w, h) < 90 or n < 1200:
+        return []
+    size = odd(int(np.clip(round(min(w, h) * 0.13), 7, 35)))
+    inner = eroded(paper, size, True)
+    if inner.sum() < max(220, int(n * 0.16)):
+        return []
+    lobes = []
+    for (x1, y1, x2, y2), shape in shapes(inner):
+        if shape.sum() >= max(180, int(n * 0.055)) and min(x2 - x1, y2 - y1) >= 22:
+            part = np.zeros((h, w), bool)
+            part[y1:y2, x1:x2] = shape
+            part = dilated(part, size, True) & paper
+            if part.sum() >= max(220, int(n * 0.07)):
+                rows, columns = np.flatnonzero(part.any(axis=1)), np.flatnonzero(part.any(axis=0))
+                lobes.append(((int(columns[0]), int(rows[0]), int(columns[-1]) + 1, int(rows[-1]) + 1), part))
+    groups: list[list[Corners]] = [[] for _ in lobes]
+    for box in boxes if len(lobes) > 1 else []:
+        own = max(0, box[0]), max(0, box[1]), min(w, box[2]), min(h, box[3])
+        if min(sides(own)) <= 0:
+            continue
+        x, y = middle(own)
+        told = []
+        for k, (held, part) in enumerate(lobes):
+            common, (cx, cy) = int(part[own[1] : own[3], own[0] : own[2]].sum()), middle(held)
+            within = held[0] - 3 <= x <= held[2] + 3 and held[1] - 3 <= y <= held[3] + 3
+            if common >= int(area(own) * 0.08):
+                told.append((12 * common + 500 * within - abs(cx - x) - abs(cy - y), -k))
+        if told:
+            groups[-max(told)[1]].append(box)
+    groups = [g for g in groups if g]
+    centres = [middle(whole(g)) for g in groups]
+    apart_ = any(abs(a[0] - b[0]) >= max(28, w * 0.16) or abs(a[1] - b[1]) >= max(28, h * 0.16) for k, a in enumerate(centres) for b in centres[k + 1 :])
+    return groups if apart_ else []
+
+
 CORNERS = ["x1", "y1", "x2", "y2"]
 
 

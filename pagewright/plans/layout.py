@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as g
-from pagewright.operators import grounds, lettering, ordered, splitting
+from pagewright.operators import contexts, grounds, lettering, ordered, splitting
 from pagewright.operators import regions as r
 from pagewright.plans.tables import BOXES, CROP, INK, PAGE_HEIGHT, PAGE_WIDTH, boxes
 
@@ -138,6 +138,15 @@ def render_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.render_contexts(units, b, PAGE_WIDTH, PAGE_HEIGHT).select("page", "pos", "c_x1", "c_y1", "c_x2", "c_y2")
 
 
+def local_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes as units of which three share a parent: the page's hull, or the page where its key is even."""
+    b = boxes(spark, sf_dir)
+    units = b.withColumns({"parent": F.floor((F.col("pos") + 2) / 3), "style": F.lit("sfx")})
+    even = F.col("page") % 2 == 0
+    ends = [F.when(even, F.lit(page)).otherwise(f(c)).alias(c) for c, f, page in (("x1", F.min, 0), ("y1", F.min, 0), ("x2", F.max, PAGE_WIDTH), ("y2", F.max, PAGE_HEIGHT))]
+    return contexts.local_contexts(units, units.groupBy("page", "parent").agg(*ends).withColumnRenamed("parent", "pos"), PAGE_WIDTH, PAGE_HEIGHT)
+
+
 def fitted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     # A box grows with its text: as much space for each word as one of 40 to 190 by 60 to 260 has for nine.
@@ -161,7 +170,7 @@ def text_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounds.text_boxes(crops(spark, sf_dir)).select("page", *(F.col(c).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")), "stands", F.length("mask").alias("n_mask"))
 
 
-QUERIES = {f.__name__: f for f in (region_viability, reading_order_page, reading_order_local, box_near_pairs, iou_pairs, containment_pairs, box_closure, centroid_clusters, row_islands_fixed_gap, column_histogram_valleys, dominant_label, input_dedupe, translation_budget, surface_stats, page_coverage, merged_regions, merged_phrases, median_rows, split_regions, separated_balloons, regrouped_boxes, phrase_rows, surface_phrases, render_contexts, fitted_text, text_boxes)}
+QUERIES = {f.__name__: f for f in (region_viability, reading_order_page, reading_order_local, box_near_pairs, iou_pairs, containment_pairs, box_closure, centroid_clusters, row_islands_fixed_gap, column_histogram_valleys, dominant_label, input_dedupe, translation_budget, surface_stats, page_coverage, merged_regions, merged_phrases, median_rows, split_regions, separated_balloons, regrouped_boxes, phrase_rows, surface_phrases, render_contexts, fitted_text, text_boxes, local_contexts)}
 
 
 def sound_sql(a: str, size: str, most: str, share: float, least: int, part: float) -> tuple[str, str]:
@@ -197,6 +206,42 @@ def text_boxes_sql() -> str:
     and bw <= greatest(120, least(280, floor(iw * 5.0::double))) and bh <= greatest(140, floor(ih * 2.8::double)) then 'art' else 'none' end as stands, cast(null as integer) as n_mask from d"""
 
 
+def context_sql(a: str, b: str, low: str, far: str, page: int, other: str, values: tuple, long: str) -> tuple[str, str]:
+    """Ends of a unit's context along one axis, from its ends, its parent's, what siblings leave and its rules."""
+    share, tight, least, most, small = values
+    # Bounds are those of the page, sizes those of the parent.
+    high = f"least({page}, {far})"
+    size = f"({b} - {a})"
+    usual = f"greatest(14, floor({size} * {share}::double), floor(({far} - {low}) * 0.04::double))"
+    held = f"case when large then least({usual}, greatest(18, floor({size} * {tight}::double), {least})) else {usual} end"
+    grow = f"greatest({held}, {long})"
+    grow = f"case when large then least({grow}, {most}) else {grow} end"
+    x, y = f"greatest({low}, least({a}, greatest({a} - ({grow}), {other}_low, {low})))", f"least({high}, greatest({b}, least({b} + ({grow}), {other}_high, {high})))"
+    need = f"least({far} - {low}, greatest({size} + 8, {small}))"
+    first = f"greatest({low}, round_even(({a} + {b}) / 2.0, 0) - floor({need} / 2.0))"
+    last = f"least({high}, {first} + {need})"
+    short = f"{y} - {x} < {need}"
+    return f"cast(case when {short} then greatest({low}, {last} - {need}) else {x} end as bigint)", f"cast(case when {short} then {last} else {y} end as bigint)"
+
+
+def local_contexts_sql() -> str:
+    limits = []
+    for axis, cross in (("x", "y"), ("y", "x")):
+        beside = f"least(u.{cross}2, s.{cross}2) - greatest(u.{cross}1, s.{cross}1) >= greatest(8, floor(least(u.{cross}2 - u.{cross}1, s.{cross}2 - s.{cross}1) * 0.18::double))"
+        middle, between = f"round_even((u.{axis}1 + u.{axis}2 + s.{axis}1 + s.{axis}2) / 4.0, 0)", f"greatest(4, floor(least(u.{axis}2 - u.{axis}1, s.{axis}2 - s.{axis}1) * 0.04::double))"
+        own, its = f"u.{axis}1 + u.{axis}2", f"s.{axis}1 + s.{axis}2"
+        limits += [f"max({middle} + {between}) filter (where {beside} and {its} < {own}) as {axis}_low", f"min({middle} - {between}) filter (where {beside} and {its} > {own}) as {axis}_high"]
+    x = context_sql("x1", "x2", "p1", "p3", PAGE_WIDTH, "x", contexts.GROWTH[0], "case when y2 - y1 > (x2 - x1) * 1.45::double then least(90, floor((y2 - y1) * 0.20::double)) else 0 end")
+    y = context_sql("y1", "y2", "p2", "p4", PAGE_HEIGHT, "y", contexts.GROWTH[1], "case when x2 - x1 > (y2 - y1) * 1.8::double then least(70, floor((x2 - x1) * 0.16::double)) else 0 end")
+    return f"""{WITH}, u as (select *, (pos + 2) // 3 as parent from boxes),
+  p as (select page, parent, case when page % 2 = 0 then 0 else min(x1) end as p1, case when page % 2 = 0 then 0 else min(y1) end as p2,
+    case when page % 2 = 0 then {PAGE_WIDTH} else max(x2) end as p3, case when page % 2 = 0 then {PAGE_HEIGHT} else max(y2) end as p4 from u group by page, parent),
+  l as (select u.page, u.pos, u.parent, any_value(u.x1) as x1, any_value(u.y1) as y1, any_value(u.x2) as x2, any_value(u.y2) as y2, {', '.join(limits)}
+    from u join u s on s.page = u.page and s.parent = u.parent and s.pos <> u.pos group by u.page, u.pos, u.parent),
+  j as (select *, (p3 - p1) * (p4 - p2) >= {contexts.LARGE} as large from l join p using (page, parent))
+  select page, pos, {x[0]} as c_x1, {y[0]} as c_y1, {x[1]} as c_x2, {y[1]} as c_y2 from j"""
+
+
 def order_sql(columns: int) -> str:
     return f"""{WITH} select page, pos, row_number() over (partition by page order by {columns - 1} - cast(floor((x1 + (x2 - x1) // 2) / ({PAGE_WIDTH} / {columns}.0)) as int),
   y1 + (y2 - y1) // 2, pos) as place from boxes"""
@@ -204,6 +249,7 @@ def order_sql(columns: int) -> str:
 
 ORACLES = {
     "text_boxes": text_boxes_sql(),
+    "local_contexts": local_contexts_sql(),
     "region_viability": f"{WITH} select page, pos, (x2 - x1) * (y2 - y1) as area, ((y2 - y1) > (x2 - x1) * 2 or ((y2 - y1) > (x2 - x1) * 1.5 and x2 - x1 < 200)) as vertical from boxes where x2 - x1 >= 40 and y2 - y1 >= 40",
     "reading_order_page": order_sql(3),
     "reading_order_local": order_sql(2),
