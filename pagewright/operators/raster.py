@@ -38,6 +38,8 @@ def spread(mask: np.ndarray, reach: int, axis: int) -> np.ndarray:
 def dilated(mask: np.ndarray, size: int, round_: bool = False) -> np.ndarray:
     """Dilation by a square, or by an ellipse, of an odd size; nothing comes in from outside."""
     r = min(size // 2, max(mask.shape))
+    if mask.all() or not mask.any():
+        return mask.copy()
     if not round_:
         return spread(spread(mask, r, 0), r, 1)
     out = np.zeros_like(mask)

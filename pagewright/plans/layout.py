@@ -158,7 +158,9 @@ def fitted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units with a crop of dark red art and one block of marks, of sizes that go with the part's key."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    # Crops are dealt to tasks before they have pixels, as a small table is one split; a stated number is not put together again.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", "p_name").repartition(tasks, "p_partkey")
     units = part.selectExpr(*(f"cast({CROP[name]} as int) as {name}" for name in ("w", "h")), *(f"{CROP[name]} as {name}" for name in ("page", "style", "text")), "p_partkey", "p_size")
     units = units.selectExpr("*", *(f"cast({INK[name]} as int) as {name}" for name in INK))
     line = "concat(repeat(char(0), x), repeat(char(1), iw), repeat(char(0), w - x - iw))"
