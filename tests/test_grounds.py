@@ -1,7 +1,7 @@
 import numpy as np
 from helpers import disc, drawn
 
-from pagewright.operators import balloons
+from pagewright.operators import balloons, surface
 from pagewright.operators import grounds as g
 
 
@@ -92,6 +92,29 @@ def test_grounds_of_texts():
     assert g.ground(RED, INK, (60, 50, 140, 110), "Hi") == (None, "art") and g.ground(RED, INK, (60, 50, 140, 110), "...") == (None, "none")
 
 
+def test_light_and_colour_are_found_once(monkeypatch):
+    found = []
+    for name in ("grey", "saturation"):
+        monkeypatch.setattr(surface, name, lambda pixels, f=getattr(surface, name), name=name: found.append(name) or f(pixels))
+    page, ink = drawn()
+    for pixels in (RED, page, crop(255, box=(40, 30, 160, 130)), crop(195, box=(20, 20, 180, 140), ground=150)):
+        seen = surface.Seen(pixels)
+        for text in ("Hi", "one two three", "..."):
+            assert str(g.text_box(seen, ink, "dialogue", text)) == str(g.text_box(pixels, ink, "dialogue", text))
+            assert str(g.ground(seen, INK, (60, 40, 140, 120), text)) == str(g.ground(pixels, INK, (60, 40, 140, 120), text))
+        assert sorted(found) == ["grey", "saturation"]
+        found.clear()
+    assert (surface.Seen(page)[20:90, 30:110].light == surface.grey(page)[20:90, 30:110]).all()
+
+
+def test_dark_art_needs_no_neighbourhood(monkeypatch):
+    # What a whole box has too little of, its marks' neighbourhood has too little of.
+    monkeypatch.setattr(g.placement, "neighbourhood", None)
+    assert g.on_art(RED, INK, (60, 50, 140, 110), "Hi") and not g.neutral(RED, INK, WHOLE, "Hi")
+    with np.testing.assert_raises(TypeError):
+        g.on_art(crop(255), INK, (60, 50, 140, 110), "Hi")
+
+
 def test_text_boxes_of_units(spark):
     page, ink = drawn()
     pixels, mask, red = page.tobytes(), ink.tobytes(), RED.tobytes()
