@@ -19,11 +19,14 @@ SCHEMA = "page long, pos long, x1 long, y1 long, x2 long, y2 long"
 
 
 def hull(a: Corners, b: Corners) -> Corners:
-    return min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])
+    a1, a2, a3, a4 = a
+    b1, b2, b3, b4 = b
+    return a1 if a1 < b1 else b1, a2 if a2 < b2 else b2, a3 if a3 > b3 else b3, a4 if a4 > b4 else b4
 
 
 def area(a: Corners) -> int:
-    return max(0, a[2] - a[0]) * max(0, a[3] - a[1])
+    w, h = a[2] - a[0], a[3] - a[1]
+    return w * h if w > 0 and h > 0 else 0
 
 
 def shared(a: Corners, b: Corners) -> int:
@@ -32,8 +35,10 @@ def shared(a: Corners, b: Corners) -> int:
 
 def gaps(a: Corners, b: Corners) -> Corners:
     """Free space and overlap along x, then along y."""
-    x, y = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    return max(0, -x), max(0, x), max(0, -y), max(0, y)
+    a1, a2, a3, a4 = a
+    b1, b2, b3, b4 = b
+    x, y = (a3 if a3 < b3 else b3) - (a1 if a1 > b1 else b1), (a4 if a4 < b4 else b4) - (a2 if a2 > b2 else b2)
+    return -x if x < 0 else 0, x if x > 0 else 0, -y if y < 0 else 0, y if y > 0 else 0
 
 
 def settled(boxes: list[Corners], joins: Callable[[Corners, Corners], bool], grown: bool) -> list[Corners]:

@@ -70,5 +70,7 @@ def by_page(rows: DataFrame, columns: list[str], kernel: Callable[[list[tuple]],
         if held:
             yield from flush(True)
 
-    own = rows.select(*(F.col(c).cast("long").alias(c) for c in ("page", *columns)), "pos").repartition("page").sortWithinPartitions("page", "pos").drop("pos")
+    # A kernel's work is more than its few bytes tell: with a stated number, tasks are not put together by their bytes.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = rows.select(*(F.col(c).cast("long").alias(c) for c in ("page", *columns)), "pos").repartition(tasks, "page").sortWithinPartitions("page", "pos").drop("pos")
     return own.mapInArrow(run, ", ".join(f"{c} long" for c in told))

@@ -95,13 +95,31 @@ def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
 
 
 def by_size(boxes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Boxes of pages with few, which a kernel sees whole, and of crowded pages, if there are any; boxes must be a written table."""
+    """Boxes of pages with few, which a kernel sees whole, and of crowded pages, if there are any; boxes must be a table that is cheap to read twice."""
     pages = saved(boxes.groupBy("page").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("page"))
     if pages.isEmpty():
         return boxes, None
     return join_small(boxes, pages, "page", "left_anti"), join_small(boxes, pages, "page", "left_semi")
 
 
+def closed(rows: list[tuple], gap: int) -> list[tuple]:
+    """Boxes (position and corners) of a page joined until none are near, each with the least position of its members."""
+    out: list[tuple] = []
+    for own in rows:
+        at, x1, y1, x2, y2 = own
+        k = 0
+        while k < len(out):
+            p, a, b, c, d = out[k]
+            if a - x2 <= gap and x1 - c <= gap and b - y2 <= gap and y1 - d <= gap and g.apart((x1, y1, x2, y2), (a, b, c, d)) <= gap:
+                # The first that is near, then again from the first.
+                del out[k]
+                at, x1, y1, x2, y2, k = min(at, p), min(x1, a), min(y1, b), max(x2, c), max(y2, d), 0
+            else:
+                k += 1
+        out.append((at, x1, y1, x2, y2))
+    return out
+
+
 def closure(boxes: DataFrame, gap: int) -> DataFrame:
     """The boxes left when near ones are joined until none are near, with the least position of each.
 
@@ -109,15 +127,6 @@ def closure(boxes: DataFrame, gap: int) -> DataFrame:
     it, itself included, until none grows; only pages on which a box has grown go on to the next round.
     """
 
-    def kernel(rows: list[tuple]) -> list[tuple]:
-        out: list[tuple] = []
-        for own in rows:
-            while (met := next((k for k, x in enumerate(out) if g.apart(own[1:], x[1:]) <= gap), None)) is not None:
-                x = out.pop(met)
-                own = min(own[0], x[0]), min(own[1], x[1]), min(own[2], x[2]), max(own[3], x[3]), max(own[4], x[4])
-            out.append(own)
-        return out
-
     def distinct(df: DataFrame) -> DataFrame:
         # Of equal boxes the least position stays.
         return df.groupBy("page", *CORNERS).agg(F.min("pos").alias("pos")).select("page", "pos", *CORNERS)
@@ -125,7 +134,7 @@ def closure(boxes: DataFrame, gap: int) -> DataFrame:
     whole = saved(boxes.select("page", "pos", *CORNERS))
     few, now = by_size(whole)
     kinds = {f.name: f.dataType for f in whole.schema}
-    out = by_page(few.withColumn("at", F.col("pos")), ["at", *CORNERS], kernel, ["at", *CORNERS]).drop("pos").withColumnRenamed("at", "pos")
+    out = by_page(few.withColumn("at", F.col("pos")), ["at", *CORNERS], lambda rows: closed(rows, gap), ["at", *CORNERS]).drop("pos").withColumnRenamed("at", "pos")
     out = out.select(*(F.col(c).cast(kinds[c]).alias(c) for c in ("page", "pos", *CORNERS)))
     now = saved(distinct(now)) if now else None
     while now and not now.isEmpty():

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import geometry as g
 from pagewright.operators import contexts, grounds, lettering, ordered, splitting
 from pagewright.operators import regions as r
-from pagewright.plans.tables import BOXES, CROP, INK, PAGE_HEIGHT, PAGE_WIDTH, boxes
+from pagewright.plans.tables import BOXES, CROP, INK, PAGE_HEIGHT, PAGE_WIDTH, boxes, paged
 
 GAP, DISTANCE, ROW = 30, 180, 60
 AREA = PAGE_WIDTH * PAGE_HEIGHT
@@ -103,13 +103,6 @@ def median_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.median_rows(boxes(spark, sf_dir))
 
 
-def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of fewer pages, so that a page has as many as a region of many balloons."""
-    b = boxes(spark, sf_dir)
-    order = Window.partitionBy("page").orderBy("own", "pos")
-    return b.withColumns({"own": F.col("page"), "page": F.floor(F.col("page") / 4)}).withColumn("pos", F.row_number().over(order)).drop("own")
-
-
 def split_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_regions(paged(spark, sf_dir), PAGE_WIDTH, PAGE_HEIGHT)
 
@@ -119,8 +112,7 @@ def separated_balloons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def regrouped_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = paged(spark, sf_dir)
-    return splitting.regrouped(r.closure(b, 3 * GAP), b, PAGE_WIDTH, PAGE_HEIGHT)
+    return splitting.regrouped_closure(paged(spark, sf_dir), 3 * GAP, PAGE_WIDTH, PAGE_HEIGHT)
 
 
 def phrase_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +120,9 @@ def phrase_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def surface_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splitting.joined_surfaces(paged(spark, sf_dir).withColumn("label", F.col("pos") % 3))
+    b = paged(spark, sf_dir)
+    number = F.row_number().over(Window.partitionBy("page").orderBy("pos"))
+    return splitting.joined_surfaces(b.withColumn("pos", number).withColumn("label", F.col("pos") % 3))
 
 
 def render_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
